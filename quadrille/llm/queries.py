@@ -13,5 +13,17 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(write_shards(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"])))
 
 
-QUERIES = {"op1_wavelet_tokens": op1_wavelet_tokens}
+def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+def op9_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op9_min_slack_packing)}
 ORACLES: dict[str, str] = {}
