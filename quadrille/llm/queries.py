@@ -19,11 +19,17 @@ def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest
+
+    return digest(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op9_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op9_min_slack_packing)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op8_personal_data, op9_min_slack_packing)}
 ORACLES: dict[str, str] = {}
