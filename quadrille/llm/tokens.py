@@ -1,8 +1,8 @@
 """Exact, cached encoding with the public byte-pair tokenizers.
 
 Both vocabularies cut a text into pieces by a pattern before any merge, so a piece's ids don't depend on its
-neighbours. Each Python worker keeps the ids of pieces it has met (bounded), and sends only new pieces to the library,
-joined into one text, whose ids fall apart again at word ends (or word starts). Texts with characters for which
+neighbours. Each Python worker keeps the ids of pieces that it has met (bounded), and sends only new pieces to the
+library, joined into one text, whose ids fall apart again at word ends (or word starts). Texts with characters for which
 Python's classes and the library's might differ go to the library whole.
 """
 
@@ -10,21 +10,30 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
-#: Characters at which the fast way stops: above Latin, control characters that only Python takes for white space.
-_SLOW = re.compile("[ɐ-\U0010ffff\x1c-\x1fİ]")
-_LETTER, _DIGIT, _OTHER = r"[^\W\d_²³¹¼½¾]", r"[\d²³¹¼½¾]", r"(?:[^\w\s]|_)"
-_CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-_WORD_PIECES = re.compile(rf"{_CONTRACTIONS}|{_LETTER}+|{_DIGIT}|{_OTHER}+")
-_BYTE_PIECES = re.compile(rf"{_CONTRACTIONS}| ?{_LETTER}+| ?{_DIGIT}+| ?{_OTHER}+|\s+(?!\S)|\s+")
-_WORD_JOINABLE = re.compile(rf"{_LETTER}+")
-_BYTE_JOINABLE = re.compile(rf" {_LETTER}+")
+# Up to U+023F every class is spelt out as ranges; a text with anything above goes to the library whole.
+_L, _N = "A-Za-zªµºÀ-ÖØ-öø-ȿ", "0-9²³¹¼½¾"
+_CONTRACTIONS = "'(?:s|t|re|ve|m|ll|d)"
+
+
+def _patterns(letters: str, digits: str) -> dict[bool, re.Pattern]:
+    """Pieces of the word vocabulary (True) and of the byte vocabulary (False)."""
+    other = rf"[^\s{letters}{digits}]"
+    return {True: re.compile(rf"[{letters}]+|{_CONTRACTIONS}|[{digits}]|{other}+"), False: re.compile(rf" ?[{letters}]+|{_CONTRACTIONS}| ?[{digits}]+| ?{other}+|\s+(?!\S)|\s+")}
+
+
+_ASCII, _LATIN = _patterns("A-Za-z", "0-9"), _patterns(_L, _N)
+_JOINABLE = {True: re.compile(rf"[{_L}]+"), False: re.compile(rf" [{_L}]+")}
+
+
+def _simple(text: str) -> bool:
+    """Whether Python's character classes and the library's agree on the text, control characters aside."""
+    return "İ" not in text and np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8).max() <= 0xC8
 
 
 def vocabulary_path(name: str) -> str:
@@ -36,9 +45,10 @@ def vocabulary_path(name: str) -> str:
 class CachedEncoder:
     """Texts to little-endian unsigned 16-bit ids; `cap` bounds the pieces kept."""
 
-    def __init__(self, path: str, cap: int = 700_000):
+    def __init__(self, path: str, cap: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
+        from tokenizers import pre_tokenizers as cutters
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -49,18 +59,23 @@ class CachedEncoder:
         self.edge = np.zeros(1 << 16, dtype=bool)  # ids at which a joined piece ends (or starts)
         for token, i in vocab.items():
             self.edge[i] = token.endswith("</w>") if self.words else token.startswith("Ġ")
-        self.pieces = _WORD_PIECES if self.words else _BYTE_PIECES
-        self.joinable = _WORD_JOINABLE if self.words else _BYTE_JOINABLE
+        self.ascii, self.latin, self.joinable = _ASCII[self.words], _LATIN[self.words], _JOINABLE[self.words]
+        # For pieces that are cut and normalised already: the same model without the library's own passes.
+        self.joined = Tokenizer.from_file(path)
+        if self.words:
+            self.joined.normalizer = normalizers.Sequence([])
+        cutter = cutters.WhitespaceSplit() if self.words else cutters.Split(" ", "merged_with_next")
+        self.joined.pre_tokenizer = cutters.Sequence([cutter, cutters.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cap = cap
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u2").tobytes()
 
     def learn(self, new: list[str]) -> None:
         plain = [p for p in new if self.joinable.fullmatch(p)]
         if plain:
-            ids = np.asarray(self.tokenizer.encode((" " if self.words else "").join(plain), add_special_tokens=False).ids, dtype="<u2")
+            ids = np.asarray(self.joined.encode_batch_fast([(" " if self.words else "").join(plain)], add_special_tokens=False)[0].ids, dtype="<u2")
             at = np.flatnonzero(self.edge[ids])
             cuts = np.concatenate(([0], at + 1)) if self.words else np.concatenate((at, [len(ids)]))
             if len(cuts) == len(plain) + 1:
@@ -87,19 +102,36 @@ class CachedEncoder:
     def _some(self, texts: list[str]) -> list[bytes]:
         import unicodedata
 
+        known = self.known
+        if len(known) > self.cap:
+            known.clear()
         cut: list[list[str] | None] = []
+        found: list[list[bytes | None]] = []
+        holes: list[tuple[int, int]] = []
+        new: set[str] = set()
         for t in texts:
-            if self.words:
+            plain = t.isascii()
+            if self.words and not plain:
                 t = unicodedata.normalize("NFC", t)
-            cut.append(None if _SLOW.search(t) else self.pieces.findall(t.lower() if self.words else t))
-        every = set(chain.from_iterable(x for x in cut if x))
-        new = every - self.known.keys()
-        if len(self.known) + len(new) > self.cap:
-            self.known.clear()
-            new = every
+            if not (plain or _simple(t)) or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:
+                cut.append(None)
+                found.append([])
+                continue
+            x = (self.ascii if plain else self.latin).findall(t.lower() if self.words else t)
+            got = list(map(known.get, x))
+            at = -1
+            try:
+                while True:
+                    at = got.index(None, at + 1)
+                    holes.append((len(cut), at))
+                    new.add(x[at])
+            except ValueError:
+                cut.append(x)
+                found.append(got)
         self.learn(list(new))
-        known = self.known
-        return [self.whole(t) if x is None else b"".join([known[p] for p in x]) for t, x in zip(texts, cut)]
+        for i, at in holes:
+            found[i][at] = known[cut[i][at]]
+        return [self.whole(t) if x is None else b"".join(got) for t, x, got in zip(texts, cut, found)]
 
 
 _ENCODERS: dict[str, CachedEncoder] = {}
