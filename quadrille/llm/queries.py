@@ -31,5 +31,11 @@ def op9_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op8_personal_data, op9_min_slack_packing)}
+def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op8_personal_data, op9_min_slack_packing, op10_kneser_ney_language)}
 ORACLES: dict[str, str] = {}
