@@ -19,6 +19,12 @@ def op2_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(common.read_columns(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest
 
@@ -37,5 +43,5 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op8_personal_data, op9_min_slack_packing, op10_kneser_ney_language)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op4_additive_quantisation, op8_personal_data, op9_min_slack_packing, op10_kneser_ney_language)}
 ORACLES: dict[str, str] = {}
