@@ -25,6 +25,22 @@ def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(common.read_columns(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
 
 
+def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import features, store_text
+
+    return features(store_text(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"])))
+
+
+def op7_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, read back from the compacted store: its shard, bytes and checksum of the text, and the version."""
+    from pyspark.sql import functions as F
+
+    from .compaction import shard
+
+    store, rows = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"), F.col("_shard").alias("shard"), F.lit(store.version()).alias("version"))
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import digest
 
@@ -43,5 +59,5 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op4_additive_quantisation, op8_personal_data, op9_min_slack_packing, op10_kneser_ney_language)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op4_additive_quantisation, op5_telephony_audio, op7_size_tiered_shards, op8_personal_data, op9_min_slack_packing, op10_kneser_ney_language)}
 ORACLES: dict[str, str] = {}
