@@ -31,6 +31,12 @@ def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(store_text(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text"])))
 
 
+def op6_url_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge
+
+    return judge(common.read_columns(spark, sf_dir, "pages", ["page_id", "url"]))
+
+
 def op7_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, read back from the compacted store: its shard, bytes and checksum of the text, and the version."""
     from pyspark.sql import functions as F
@@ -59,5 +65,5 @@ def op10_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(common.read_columns(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op4_additive_quantisation, op5_telephony_audio, op7_size_tiered_shards, op8_personal_data, op9_min_slack_packing, op10_kneser_ney_language)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_circulant_minhash, op4_additive_quantisation, op5_telephony_audio, op6_url_words, op7_size_tiered_shards, op8_personal_data, op9_min_slack_packing, op10_kneser_ney_language)}
 ORACLES: dict[str, str] = {}
