@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -480,12 +481,10 @@ class Compiler:
 
 def quoted_parts(c: Column) -> Column:
     """struct(s, p, o) of an encoded quoted triple; NULL for other terms. Arrow-batched, as nesting isn't regular."""
-    import pandas as pd
+    split_quoted = T.split_quoted
 
     @F.pandas_udf("s string, p string, o string")
     def parts(x: pd.Series) -> pd.DataFrame:
-        from quadrille.functions.terms import split_quoted
-
         return pd.DataFrame([split_quoted(t) if isinstance(t, str) and t.startswith("<<") else (None, None, None) for t in x], columns=["s", "p", "o"])
 
     return parts(c)

@@ -131,7 +131,7 @@ def term_value(c: Column) -> Column:
 
 def text_of(c: Column) -> Column:
     """STR(): the lexical form of a literal, the text of an IRI; NULL for others."""
-    return F.when(is_literal(c), F.regexp_extract(c, r'(?s)^"(.*)"', 1)).when(is_iri(c), F.substring(c, 2, 1 << 30).substr(F.lit(1), F.length(c) - 2))
+    return F.when(is_literal(c), F.regexp_extract(c, r'(?s)^"(.*)"', 1)).when(is_iri(c), c.substr(F.lit(2), F.length(c) - 2))
 
 
 def lang_of(c: Column) -> Column:
