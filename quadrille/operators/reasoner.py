@@ -25,6 +25,7 @@ class Options:
     provenance: bool = False
     derived_by_iri: str = PROV + "wasDerivedFrom"
     derived_at_iri: str = PROV + "generatedAtTime"
+    # a fixed value: consumers of annotations look for it
     rule_iri_prefix: str = "urn:semantica:rule:"
     equality_saturation: bool = True
     eq_reflexive: bool = False

@@ -33,7 +33,8 @@ class ShaclError(ValueError):
 class Options:
     max_violations: int = 10_000
     provenance: bool = False
-    reported_by_iri: str = PROV + "wasGeneratedBy"
+    # fixed values: consumers of reports look for these IRIs
+    reported_by_iri: str = "urn:semantica:shacl:reportedBy"
     reported_at_iri: str = PROV + "generatedAtTime"
     shape_iri_prefix: str = "urn:semantica:shape:"
 
