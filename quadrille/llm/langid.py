@@ -100,7 +100,7 @@ class LanguageModel:
     def __init__(self, languages: list[str], grams: list[Table], contexts: list[Table], limit: float):
         self.languages, self.grams, self.contexts, self.limit = languages, grams, contexts, limit
 
-    def losses(self, texts: list[str], step: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    def losses(self, texts: list[str], step: int = 250_000) -> tuple[np.ndarray, np.ndarray]:
         """(summed negative log-probabilities by text and language, characters of each text); bounded by `step`."""
         loss, size = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
         at = 0

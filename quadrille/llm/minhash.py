@@ -58,7 +58,7 @@ class Shingler:
         at = 0
         while at < len(texts):
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 4_000_000):
+            while end < len(texts) and (end == at or size < 1_000_000):
                 size += len(texts[end])
                 end += 1
             out.extend(self._some([t.encode("utf-8", "surrogatepass").lower() for t in texts[at:end]]))
