@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -99,5 +99,22 @@ def prefix_sums(df: DataFrame, key: str, values: list[str], within: list[str] =
     return out.drop("_block", *[f"_{v}_inner" for v in values], *[f"_{v}_outer" for v in values])
 
 
-def code_points(c: Column) -> Column:
-    return F.length(c)
+_WORKER: dict[str, object] = {}
+
+
+def worker_cache(name: str, make):
+    """What a Python worker keeps between tasks, one operator's at a time: Spark reuses workers from stage to stage, and
+    what an earlier stage kept would add up. Dropped memory goes back to the system."""
+    if name not in _WORKER:
+        if _WORKER:
+            import ctypes
+            import gc
+
+            _WORKER.clear()
+            gc.collect()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except OSError:  # another C library: its allocator decides
+                pass
+        _WORKER[name] = make()
+    return _WORKER[name]

@@ -30,13 +30,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(29))
 
 
-_LETTERS: list[np.ndarray] = []
-
-
 def _letters() -> np.ndarray:
-    if not _LETTERS:
-        _LETTERS.append(np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1))
-    return _LETTERS[0]
+    return common.worker_cache("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), dtype=bool, count=sys.maxunicode + 1))
 
 
 def normalised(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,11 +53,9 @@ def hashes(codes: np.ndarray) -> list[np.ndarray]:
     """hashes[k][i]: of the k + 1 characters that end at i."""
     x = codes.astype(np.uint64) + _U(1)
     out, total = [], np.zeros(len(x), dtype=np.uint64)
-    scale = _U(1)
     for k in range(ORDER):
         total = total.copy()
-        total[k:] += x[: len(x) - k] * scale
-        scale = scale * _B
+        total[k:] += x[: len(x) - k] * _U(pow(int(_B), k, 1 << 64))
         out.append(_mix(total + _U(k)))
     return out
 

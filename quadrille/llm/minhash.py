@@ -122,13 +122,9 @@ class Circulant:
         return _mix((cells * self.weights).sum(axis=2, dtype=np.uint64) ^ self.salts).view(np.int64)
 
 
-_TOOLS: dict[tuple, tuple] = {}
-
-
 def tools() -> tuple[Shingler, Circulant]:
-    if () not in _TOOLS:
-        _TOOLS[()] = (Shingler(), Circulant())
-    return _TOOLS[()]
+    """One of each per Python worker."""
+    return common.worker_cache("minhash", lambda: (Shingler(), Circulant()))
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:

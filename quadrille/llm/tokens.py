@@ -13,6 +13,8 @@ import re
 
 import numpy as np
 
+from . import common
+
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -134,11 +136,6 @@ class CachedEncoder:
         return [self.whole(t) if x is None else b"".join(got) for t, x, got in zip(texts, cut, found)]
 
 
-_ENCODERS: dict[str, CachedEncoder] = {}
-
-
 def encoder(path: str) -> CachedEncoder:
     """One per Python worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = CachedEncoder(path)
-    return _ENCODERS[path]
+    return common.worker_cache(path, lambda: CachedEncoder(path))
