@@ -30,7 +30,7 @@ _WORDS, _EDGE = re.compile(" +[^ ]*"), re.compile("[^ ] ")
 class Pieces:
     """Pieces, scores and byte ids of a model; texts have a space before them, and a space after a word starts a new one."""
 
-    def __init__(self, path: str, cap: int = 400_000):
+    def __init__(self, path: str, cap: int = 500_000):
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -50,8 +50,13 @@ class Pieces:
         if any(" " in p.lstrip(" ") for p in self.known):
             raise ValueError("a piece holds a space after another character")
         self.longest = max(map(len, self.known))
+        #: Neighbouring characters that some piece holds; between any others a cut is certain.
+        self.pairs = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
+        #: Beginnings of pieces: a search ends where it leaves them.
+        self.starts: dict[str, tuple[int, float] | None] = {p[:i]: None for p in self.known for i in range(1, len(p))}
+        self.starts.update(self.known)
         self.missing = min(s for _, s in self.known.values() if s > -1e8) - 10.0  # runs of spaces score -1e9
-        self.cap, self.words = cap, {}
+        self.cap, self.words, self.cores = cap, {}, {}
 
     def steps(self, text: str, start: int, end: int, limit: int) -> Iterator[tuple[int, float, tuple[int, ...] | int]]:
         """(end, score, id or byte ids) of the pieces that start at `start`; they end by `limit`."""
@@ -87,12 +92,47 @@ class Pieces:
             ids.extend(reversed(own) if isinstance(own, tuple) else (own,))
         return score[-1], ids[::-1]
 
+    def core(self, w: str) -> tuple[bytes, float]:
+        """Ids and score of a run of characters without a certain cut: best() without its limits."""
+        n, starts = len(w), self.starts
+        score, back = [0.0] + [_LOW] * n, [None] * (n + 1)
+        for at in range(n):
+            base = score[at]
+            if base == _LOW:
+                continue
+            alone = False
+            for to in range(at + 1, n + 1):
+                hit = starts.get(w[at:to], 0)
+                if hit == 0:
+                    break
+                if hit is not None:
+                    alone = alone or to == at + 1
+                    if base + hit[1] > score[to]:
+                        score[to], back[to] = base + hit[1], (at, hit[0])
+            if not alone and base + self.missing > score[at + 1]:
+                score[at + 1], back[at + 1] = base + self.missing, (at, tuple(self.bytes_[list(w[at].encode("utf-8", "surrogatepass"))].tolist()))
+        ids: list = []
+        at = n
+        while at:
+            at, own = back[at]
+            ids.extend(reversed(own) if isinstance(own, tuple) else (own,))
+        return np.asarray(ids[::-1], dtype="<u2").tobytes(), score[n]
+
     def word(self, w: str) -> tuple[bytes, float]:
         """Ids (as bytes) and score of spaces and what follows them to the next."""
         if len(self.words) > self.cap:
             self.words.clear()
-        score, ids = self.best(w, 0, len(w), len(w))
-        hit = self.words[w] = (np.asarray(ids, dtype="<u2").tobytes(), score)
+        if len(self.cores) > self.cap:
+            self.cores.clear()
+        pairs, cores, raw, total, at = self.pairs, self.cores, b"", 0.0, 0
+        for i in range(1, len(w) + 1):
+            if i == len(w) or w[i - 1 : i + 1] not in pairs:
+                part = w[at:i]
+                hit = cores.get(part)
+                if hit is None:
+                    hit = cores[part] = self.core(part)
+                raw, total, at = raw + hit[0], total + hit[1], i
+        hit = self.words[w] = (raw, total)
         return hit
 
     def whole(self, text: str) -> tuple[bytes, float]:
@@ -181,13 +221,9 @@ def states(matrices: np.ndarray, block: int = 64) -> np.ndarray:
     return out
 
 
-_MODELS: dict[str, Pieces] = {}
-
-
 def model(path: str) -> Pieces:
-    if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+    """One per Python worker and model."""
+    return common.worker_cache(path, lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_ids: bool = False) -> DataFrame:
