@@ -15,11 +15,11 @@ THING, NOTHING, CLASS, ON = owl("Thing"), owl("Nothing"), owl("Class"), owl("onP
 DATATYPE, CHAIN = rdfs("Datatype"), owl("propertyChainAxiom")
 
 #: The datatypes of OWL 2 RL.
-DATATYPES = [rdf("PlainLiteral"), rdf("XMLLiteral"), rdf("langString"), rdfs("Literal")] + [
+DATATYPES = [rdf("PlainLiteral"), rdf("XMLLiteral")] + [
     xsd(x) for x in (
         "anyURI", "base64Binary", "boolean", "byte", "dateTime", "dateTimeStamp", "decimal", "double", "float", "hexBinary", "int", "integer", "language",
         "long", "Name", "NCName", "negativeInteger", "NMTOKEN", "nonNegativeInteger", "nonPositiveInteger", "normalizedString", "positiveInteger",
-        "short", "string", "token", "unsignedByte", "unsignedInt",
+        "short", "string", "token", "unsignedByte", "unsignedInt", "unsignedLong", "unsignedShort",
     )
 ]
 
