@@ -48,9 +48,9 @@ def _negative(target: str, literal: bool) -> str:
 def _most(kind: str, thing: bool | None) -> str:
     on = ""
     if thing is not None:
-        on = f"JOIN {of(owl('onClass'))} q ON q.s = r.c AND q.o {'=' if thing else '<>'} '{THING}'"
+        on = f"JOIN (SELECT s, o AS d FROM {of(owl('onClass'))}) q ON q.s = r.c AND q.d {'=' if thing else '<>'} '{THING}'"
         if not thing:
-            on += f" JOIN {typed()} y ON y.c = q.o AND y.x = t.o"
+            on += f" JOIN {typed()} y ON y.c = q.d AND y.x = t.o"
     return f"SELECT t.s, t.p, min(t.o) AS o FROM {restriction(kind)} r JOIN {typed()} x ON x.c = r.c JOIN {{u}} t ON t.s = x.x AND t.p = r.p {on} WHERE {number('r.v', 0)} GROUP BY t.s, t.p"
 
 

@@ -173,3 +173,8 @@ def test_shacl(g):
     with pytest.raises(ValueError, match="max_violations"):
         g.rdf_shacl_core_validate("urn:g:d", "urn:g:s", "urn:g:r", {"max_violations": 2})
     assert g.sparql_ask("PREFIX sh: <http://www.w3.org/ns/shacl#> ASK { GRAPH <urn:g:r> { ?r sh:conforms false } }") == 1
+
+
+def test_every_detector_fires_in_the_joint_run(g):
+    load(g, 'd:x a owl:Nothing . :C owl:maxQualifiedCardinality 0 ; owl:onProperty :p ; owl:onClass owl:Thing . :i a :C ; :p :j .'.replace("d:x", ":x"))
+    assert [v["rule"] for v in json.loads(g.rdf_owl_rl_consistent(None, None))] == ["cls-maxqc2", "cls-nothing2"]
