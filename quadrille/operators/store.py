@@ -1,6 +1,7 @@
 """GraphStore: a set of quads as tables of one session, with the reference surface of functions as methods.
 
-Every write makes a new table in the shared folder and swaps it in whole, so a failed call changes nothing.
+An insert writes what is new as a further part of the table; a delete writes the table anew and swaps it in whole. Either
+way a failed call changes nothing.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from .durable import cut
 
 QUADS = "s string, p string, o string, g string"
 KEY = ["s", "p", "o", "g"]
+MOST_PARTS = 32
 
 
 def options(cls, raw: str | dict | None):
@@ -35,6 +37,7 @@ class GraphStore:
     def __init__(self, spark: SparkSession, quads: DataFrame | None = None):
         self.spark = spark
         self.quads = spark.createDataFrame([], QUADS) if quads is None else cut(quads.select(*KEY).distinct())
+        self.parts = 1
         self.graphs: set[str] = set()  # named graphs that CREATE has made
         self.deps: DataFrame | None = None
 
@@ -54,7 +57,13 @@ class GraphStore:
         return self.spark.createDataFrame(rows, QUADS)
 
     def _replace(self, quads: DataFrame) -> None:
-        self.quads = cut(quads)
+        self.quads, self.parts = cut(quads), 1
+
+    def _append(self, new: DataFrame) -> None:
+        """Add a written part; the table is rewritten only when many parts have gathered."""
+        self.quads, self.parts = self.quads.union(new), self.parts + 1
+        if self.parts > MOST_PARTS:
+            self._replace(self.quads)
 
     def _match(self, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         """Join on whole quads; the default graph equals itself."""
@@ -66,7 +75,7 @@ class GraphStore:
         new = cut(self._match(rows.select(*KEY).distinct(), self.quads, "left_anti"))
         n = new.count()
         if n:
-            self._replace(self.quads.union(new))
+            self._append(new)
         return n
 
     def delete_df(self, rows: DataFrame) -> int:
@@ -118,7 +127,7 @@ class GraphStore:
         return self.delete_df(self.rows(self.parse_rows(text)))
 
     def rdf_clear(self) -> int:
-        self.quads, self.graphs, self.deps = self.spark.createDataFrame([], QUADS), set(), None
+        self.quads, self.parts, self.graphs, self.deps = self.spark.createDataFrame([], QUADS), 1, set(), None
         return 1
 
     def rdf_count(self, *graph: str | None) -> int:
