@@ -1,7 +1,8 @@
 """URL filter: path rules first, then naive Bayes on segmented names.
 
 A host's labels are split at dots and hyphens and, where several words are run together, by a unigram Viterbi
-segmentation. A multinomial naive Bayes over the words of host and path gives the verdict where no rule fits.
+segmentation. A label that shorter labels cover is no word of the dictionary, however often it is seen. A multinomial
+naive Bayes over the words of host and path gives the verdict where no rule fits.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ SEEDS = ("ads", "adult", "bet", "bonus", "casino", "cheap", "click", "escort", "
 #: A page needs at least one of these to be blocked by its host alone: single everyday words don't make a seed.
 STRONG = ("adult", "casino", "escort", "gambling", "lottery", "nude", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx", "ads")
 
+#: Letters of the shortest part of a run-together name, and of the longest word.
+PART, LONGEST = 3, 24
+
 _A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOKEN = re.compile(r"[^\W_]+")
 
@@ -49,7 +53,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Best split of a run of letters into words by the sum of their log-probabilities (Viterbi)."""
 
-    def __init__(self, counts: dict[str, int], longest: int = 24):
+    def __init__(self, counts: dict[str, int], longest: int = LONGEST):
         total = sum(counts.values()) + len(counts) + 1
         self.score = {w: math.log((n + 1) / total) for w, n in counts.items() if 1 < len(w) <= longest}
         self.longest = max(map(len, self.score), default=1)
@@ -94,19 +98,49 @@ class UrlModel:
         return self.prior + sum(self.weights.get(t, 0.0) for t in self.tokens(host, path))
 
 
+def covered(word: str, parts: set[str]) -> bool:
+    """Whether two or more of parts, in a row, are the word."""
+    ends = {0}
+    for end in range(PART, len(word) + 1):
+        if any(word[start:end] in parts for start in ends if start or end < len(word)):
+            ends.add(end)
+    return len(word) in ends
+
+
+def label_words(hosts: DataFrame, seeds=SEEDS) -> DataFrame:
+    """(w, n): labels of distinct hosts(host) that are words of their own, and the hosts that show each.
+
+    A label of which two or more other labels or seeds of at least PART letters are the parts is left out: it is a
+    run-together name, and its parts are the words. Every label is compared with all others by a join.
+    """
+    spark = hosts.sparkSession
+    labels = hosts.select(F.explode(F.split(F.lower("host"), "[^\\p{L}]+")).alias("w")).where("length(w) > 1").groupBy("w").agg(F.count("*").alias("n"))
+    labels = common.materialise(labels, "url-labels")
+    n = F.length("w")
+    inner = F.expr(f"flatten(transform(sequence(1, length(w) - {PART - 1}), i -> transform(sequence({PART}, least(length(w) - i + 1, length(w) - 1, {LONGEST})), k -> substring(w, i, k))))")
+    inside = labels.where(n.between(2 * PART, LONGEST) & ~F.col("w").isin(*seeds)).select("w", F.explode(inner).alias("part"))
+    known = labels.select("w").union(spark.createDataFrame([(w,) for w in seeds], "w string")).where(n >= PART).distinct().select(F.col("w").alias("part"))
+    found = inside.join(known, "part").groupBy("w").agg(F.collect_set("part").alias("parts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"w": [w for w, parts in zip(b["w"], b["parts"]) if covered(w, set(parts))]}, dtype=object)
+
+    return labels.join(found.mapInPandas(run, "w string"), "w", "left_anti")
+
+
 def train(pages: DataFrame, vocabulary: int = 50_000, seeds=SEEDS, strong=STRONG) -> UrlModel:
     """Fit segmenter and classifier on all of pages(host, path).
 
-    Word counts come from the labels of all hosts, which hyphens and dots separate. A page is labelled block if its
+    Word counts come from the labels of all hosts, which hyphens and dots separate, run-together ones left out. A page is labelled block if its
     segmented host holds a strong seed word or two seed words, else allow; per-word counts by label cover all pages. The
     `vocabulary` most frequent words (a bound on the model's size) are kept of either count; only they are collected.
     """
     spark = pages.sparkSession
     common.ship(spark)
     hosts = pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
-    words = hosts.select(F.explode(F.split("host", "[^\\p{L}]+")).alias("w")).where("length(w) > 1").groupBy("w").count()
-    top = words.orderBy(F.desc("count"), "w").limit(vocabulary).collect()
-    segmenter = Segmenter({**{r["w"]: r["count"] for r in top}, **{w: max(50, sum(r["count"] for r in top) // 200) for w in seeds}})
+    top = label_words(hosts, seeds).orderBy(F.desc("n"), "w").limit(vocabulary).collect()
+    segmenter = Segmenter({**{r["w"]: r["n"] for r in top}, **{w: max(50, sum(r["n"] for r in top) // 200) for w in seeds}})
     seeds, strong = set(seeds), set(strong)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

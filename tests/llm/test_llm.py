@@ -204,6 +204,18 @@ def test_op6_rules_and_words(spark):
     assert judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_op6_splits_names_that_pages_show(spark):
+    from quadrille.llm.urls import judge, label_words
+
+    names = ["cheappills", "freecasinoslots", "casinogarden", "bestcasinobonus", "adultgarden"]
+    rows = [(i, f"http://u{i}.{names[i % 5]}.shop/a") for i in range(50)]
+    rows += [(100 + i, f"http://{w}{i}-{w}.shop/a") for i in range(60) for w in ("garden", "best", "meadow")] + [(900, "http://meadow.shop/a")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    assert {r["w"] for r in label_words(pages.selectExpr("substring(url, 8, length(url) - 9) host").distinct()).collect()} == {"garden", "best", "meadow", "shop"}
+    got = {r["page_id"]: r["verdict"] for r in judge(pages).collect()}
+    assert [got[i] for i in (*range(50), 900, 100)] == ["block"] * 50 + ["allow"] * 2
+
+
 def test_op7_versions(spark, docs_of, tmp_path):
     from quadrille.llm.compaction import ShardStore
 
