@@ -1,11 +1,14 @@
-"""SentencePiece encoding and decoding as a max-plus parallel scan.
-
-The best segmentation of a text under a model's pieces and scores is a shortest-path problem whose steps are at most
-as long as the longest piece. A giant document is cut into chunks at any character. What happens at a cut is told by
-one number, how far the piece in progress reaches past it, so a chunk is a small matrix of best scores from entry to
-exit state. Matrices are combined by the max-plus product, which is associative; states at all cuts follow, and every
-chunk is backtraced on its own. The model's scores are used as they are, so the result is that of greatest total
-score; a character outside the vocabulary becomes its bytes, at a price below any piece's.
+"""SentencePiece encoding and decoding, giant documents in parallel chunks.
+
+Where a model's scores add up (unigram models), the best segmentation of a text is a shortest-path problem whose steps
+are at most as long as the longest piece. A giant document is cut into chunks at any character. What happens at a cut
+is told by one number, how far the piece in progress reaches past it, so a chunk is a small matrix of best scores from
+entry to exit state. Matrices are combined by the max-plus product, which is associative; states at all cuts follow,
+and every chunk is backtraced on its own.
+
+The scores of a BPE model are the negated ranks of its merges and don't add up, so its texts get the merges themselves
+(`Merges`), by the library and word by word. A giant document is cut only where no piece can hold both sides: merges
+never reach across.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .tokens import vocabulary_path
 MODEL = "piece_bpe_32k.model"
 _LOW = -np.inf
 _WORDS, _EDGE = re.compile(" +[^ ]*"), re.compile("[^ ] ")
+_RUNS = re.compile(" +[^ ]*|[^ ]+")  # a chunk may begin inside a word
+_DIGEST = "doc_id long, n_tokens long, ids_crc32 long, score double, n_chunks long, round_trip boolean"
 
 
 class Pieces:
@@ -191,6 +196,71 @@ class Pieces:
         return np.asarray(ends[0], dtype="<u2").tobytes() + middle + np.asarray(ends[1], dtype="<u2").tobytes()
 
 
+class Merges:
+    """The library's own ids of a BPE model, of runs of characters that no piece leaves; words are encoded once and kept."""
+
+    def __init__(self, path: str, cap: int = 500_000):
+        import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
+
+        proto = sentencepiece_model_pb2.ModelProto()
+        with open(path, "rb") as f:
+            proto.ParseFromString(f.read())
+        spec = proto.normalizer_spec
+        self.bpe = proto.trainer_spec.model_type == sentencepiece_model_pb2.TrainerSpec.BPE
+        #: Whether texts are taken as they are, so that runs can be encoded apart.
+        self.plain = not (spec.precompiled_charsmap or spec.remove_extra_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix) and spec.add_dummy_prefix and spec.escape_whitespaces
+        spec.add_dummy_prefix = False
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+        self.scores = np.array([p.score for p in proto.pieces])
+        pieces = [p.piece.replace("\u2581", " ") for p in proto.pieces]
+        self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+        self.cap, self.words, self.cores = cap, {}, {}
+
+    @staticmethod
+    def text(text: str) -> str:
+        """What the model sees: a space before a text that isn't empty; U+2581 is a space to it."""
+        return " " + text.replace("\u2581", " ") if text else ""
+
+    def word(self, w: str) -> bytes:
+        if len(self.words) > self.cap:
+            self.words.clear()
+        if len(self.cores) > self.cap:
+            self.cores.clear()
+        pairs, cores, raw, at = self.pairs, self.cores, [], 0
+        for i in range(1, len(w) + 1):
+            if i == len(w) or w[i - 1 : i + 1] not in pairs:
+                part = w[at:i]
+                hit = cores.get(part)
+                if hit is None:
+                    hit = cores[part] = np.asarray(self.model.encode(part), dtype="<u2").tobytes()
+                raw.append(hit)
+                at = i
+        hit = self.words[w] = b"".join(raw)
+        return hit
+
+    def whole(self, text: str) -> bytes:
+        """Ids of a text as text() gives it, or of a chunk of one."""
+        get, word = self.words.get, self.word
+        return b"".join([get(w) or word(w) for w in _RUNS.findall(text)])
+
+    def cuts(self, text: str, chunk: int) -> list[int]:
+        """Ends of chunks: the first place at `chunk` characters or later where no piece holds both sides."""
+        ends, at, pairs = [], chunk, self.pairs
+        while at < len(text):
+            if text[at - 1 : at + 1] not in pairs:
+                ends.append(at)
+                at += chunk
+            else:
+                at += 1
+        return [*ends, len(text)]
+
+
+def both(path: str) -> tuple[Merges, Pieces]:
+    """One of each per Python worker and model."""
+    return common.worker_cache(path + " merges", lambda: (Merges(path), Pieces(path)))
+
+
 def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
 
@@ -229,14 +299,20 @@ def model(path: str) -> Pieces:
 def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_ids: bool = False) -> DataFrame:
     """docs(doc_id, text): doc_id, n_tokens, ids_crc32 (of little-endian 32-bit ids), score, n_chunks, round_trip (and ids).
 
-    A null text is an empty one: a lone space. Texts above `chunk` characters go through the scan, others are one
+    Ids are those of the library. Of a BPE model they are its merges and the score is the sum of their ranks, else the
+    segmentation of greatest score by the scan. A null text is an empty one, without ids (a lone space to the scan). Texts above `chunk` characters are cut into chunks, others are one
     chunk. round_trip tells whether the ids decode to the text; it is false only for texts that hold U+2581 themselves.
     Rows that repeat a doc_id are encoded each.
     """
     spark = docs.sparkSession
     common.ship(spark)
     path = path or vocabulary_path(MODEL)
-    digest = "doc_id long, n_tokens long, ids_crc32 long, score double, n_chunks long, round_trip boolean" + (", ids binary" if with_ids else "")
+    digest = _DIGEST + (", ids binary" if with_ids else "")
+    own = Merges(path)
+    if own.bpe:
+        if not own.plain:
+            raise ValueError("a model that changes texts before its merges")
+        return _encode_merges(docs, path, chunk, with_ids)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
@@ -331,6 +407,71 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_i
     return small.unionByName(large_rows)
 
 
+def _encode_merges(docs: DataFrame, path: str, chunk: int, with_ids: bool) -> DataFrame:
+    """encode() of a BPE model: chunks of giant documents are encoded apart, then put in order by row."""
+    spark = docs.sparkSession
+    names = ["row", "doc_id", "n_tokens", "ids_crc32", "score", "n_chunks", "round_trip", "ids", "chunk", "piece"]
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, plain = both(path)
+        for b in batches:
+            out = []
+            for row, doc_id, text in zip(b["row"], b["doc_id"], b["text"]):
+                seen = m.text(text)
+                if len(text) <= chunk:
+                    raw = m.whole(seen)
+                    ids = np.frombuffer(raw, "<u2")
+                    sound = plain.decode(ids) == text.encode("utf-8", "surrogatepass")
+                    out.append((row, doc_id, len(ids), zlib.crc32(ids.astype("<u4")), float(m.scores[ids].sum()), 1, sound, raw if with_ids else None, None, None))
+                    continue
+                ends = m.cuts(seen, chunk)
+                for k, (at, end) in enumerate(zip([0, *ends], ends)):
+                    out.append((row, doc_id, None, None, None, len(ends), "\u2581" not in text, None, k, seen[at:end]))
+                    if len(out) >= 256:
+                        yield pd.DataFrame(out, columns=names)
+                        out = []
+            if out:
+                yield pd.DataFrame(out, columns=names)
+
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = common.materialise(texts.mapInPandas(first, "row long, " + _DIGEST + ", ids binary, chunk long, piece string"), "pieces-first")
+    small = rows.where("chunk IS NULL").select(*[c.split()[0] for c in _DIGEST.split(", ")], *["ids"] * with_ids)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, plain = both(path)
+        for b in batches:
+            raws = [m.whole(p) for p in b["piece"]]
+            ids = [np.frombuffer(r, "<u2") for r in raws]
+            sound = [ok and b"".join([plain.raw[i] for i in x.tolist()]) == p.encode("utf-8", "surrogatepass") for ok, x, p in zip(b["round_trip"], ids, b["piece"])]
+            yield b.drop(columns="piece").assign(ids=raws, score=[float(m.scores[x].sum()) for x in ids], round_trip=sound)
+
+    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Chunks of a document arrive in order; sums and checksums run on, so only with_ids holds a document whole."""
+        now, state = None, None
+        columns = ["doc_id", "n_tokens", "ids_crc32", "score", "n_chunks", "round_trip", *["ids"] * with_ids]
+        done = lambda s: pd.DataFrame([(*s[:6], *[b"".join(s[6])] * with_ids)], columns=columns)
+        for b in batches:
+            for row, doc_id, chunks, score, raw, sound in zip(b["row"], b["doc_id"], b["n_chunks"], b["score"], b["ids"], b["round_trip"]):
+                if row != now:
+                    if state is not None:
+                        yield done(state)
+                    now, state = row, [doc_id, 0, 0, 0.0, chunks, True, []]
+                ids = np.frombuffer(raw, "<u2")
+                state[1] += len(ids)
+                state[2] = zlib.crc32(ids.astype("<u4"), state[2])
+                state[3] += score
+                state[5] &= bool(sound)
+                if with_ids:
+                    state[6].append(raw)
+        if state is not None:
+            yield done(state)
+
+    n = common.parallelism(spark)
+    large = rows.where("chunk IS NOT NULL").select("row", "doc_id", "n_chunks", "round_trip", "chunk", "piece").repartition(n, "row", "chunk")
+    encoded = large.mapInPandas(run, "row long, doc_id long, n_chunks long, round_trip boolean, chunk long, ids binary, score double")
+    return small.unionByName(encoded.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInPandas(join_up, _DIGEST + (", ids binary" if with_ids else "")))
+
+
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """rows(doc_id, ids binary of little-endian 16-bit ids): doc_id, text; null ids give a null text, and bytes that
     aren't UTF-8 become U+FFFD."""

@@ -135,6 +135,27 @@ def test_op3_scan_equals_one_pass_and_decodes(docs_of):
     assert {r["doc_id"]: r["text"] for r in decode(found).collect()} == {d: t or "" for d, t in rows}
 
 
+def test_op3_equals_the_library(docs_of):
+    import sentencepiece
+
+    from quadrille.llm.pieces import MODEL, encode
+    from quadrille.llm.tokens import vocabulary_path
+
+    m = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(MODEL))
+    rng = np.random.default_rng(12)
+    bits = ["a", "b", " ", "   ", "th", "the", "ing", "é", "\n", "😀", "inter", "national", "日本", "\u2581", "\t", "İ", "１", "2,000", "<s>", "</s>", "<unk>", "<0x41>", "\0"]
+    rows = [(i, t) for i, (_, t) in enumerate(SAMPLE)] + [(50, "long words here, " * 300)]
+    rows += [(100 + i, "".join(rng.choice(bits, rng.integers(1, 90)))) for i in range(300)]
+    for chunk in (100, 7):
+        got = {r["doc_id"]: r for r in encode(docs_of(rows), chunk=chunk, with_ids=True).collect()}
+        for d, t in rows:
+            want = np.array(m.encode(t or ""), dtype="<u2")
+            assert np.frombuffer(got[d]["ids"], "<u2").tolist() == want.tolist(), t
+            assert (got[d]["n_tokens"], got[d]["ids_crc32"]) == (len(want), zlib.crc32(want.astype("<u4")))
+            assert got[d]["round_trip"] == ("\u2581" not in (t or "")), t
+    assert max(r["n_chunks"] for r in got.values()) > 100
+
+
 def test_op4_recall_and_edges(spark):
     from quadrille.llm.ann import nearest
 
