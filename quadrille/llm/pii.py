@@ -24,7 +24,8 @@ EXTRA = {
     "national_phone": (r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", "[0-9]{3}[\x20.-][0-9]{4}"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]{2}-[0-9]"),
 }
-#: Score of a confirmed span before its context, and words that raise it when they stand within REACH code points before.
+#: Score of a confirmed span before its context, and words that raise it when they stand within REACH code points before it or after.
+#: Spans of the same kind in between count as a space, so that one label serves a list of numbers.
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "national_phone": 0.4, "ssn": 0.4}
 CONTEXT = {
     "email": "mail|contact|write", "ip": "ip|address|host|server", "card": "card|visa|credit|payment", "phone": "phone|call|tel|mobile|fax",
@@ -81,17 +82,17 @@ def _confirmed(kind: str, match: Column) -> Column:
 _SPAN = "array<struct<start:int,end:int,rank:int,kind:string,score:double>>"
 
 
-_FOUND = "array<struct<start:int,end:int,match:string,gap:string>>"
+_FOUND = "array<struct<start:int,end:int,match:string,context:string>>"
 
 
 def _spans(kind: str, rank: int) -> Column:
-    """Confirmed and scored spans of one kind from its columns of (match, gap before it)."""
+    """Confirmed and scored spans of one kind from its columns of (match, gap before it, context)."""
     pairs = F.col(f"_pairs_{kind}")
 
     def walk(acc: Column, pair: Column) -> Column:
         at = acc["at"] + F.length(pair["gap"])
         end = at + F.length(pair["match"])
-        one = F.array(F.struct(at.alias("start"), end.alias("end"), pair["match"].alias("match"), F.right(pair["gap"], F.lit(REACH)).alias("gap")))
+        one = F.array(F.struct(at.alias("start"), end.alias("end"), pair["match"].alias("match"), pair["context"].alias("context")))
         return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
 
     def block(acc: Column, i: Column) -> Column:  # slices keep the cost of growing arrays in proportion to the matches
@@ -103,11 +104,25 @@ def _spans(kind: str, rank: int) -> Column:
     sure = F.filter(found, lambda x: _confirmed(kind, x["match"]))
     scored = F.transform(sure, lambda x: F.struct(
         x["start"].alias("start"), x["end"].alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-        (F.lit(PRIOR[kind]) + F.when(F.lower(x["gap"]).rlike(rf"\b(?:{CONTEXT[kind]})"), F.least(F.lit(LIFT), F.lit(1 - PRIOR[kind]))).otherwise(F.lit(0.0))).alias("score"),
+        (F.lit(PRIOR[kind]) + F.when(F.lower(x["context"]).rlike(rf"\b(?:{CONTEXT[kind]})"), F.least(F.lit(LIFT), F.lit(1 - PRIOR[kind]))).otherwise(F.lit(0.0))).alias("score"),
     ))
     return F.when(F.size(pairs) == 0, F.array().cast(_SPAN)).otherwise(scored.cast(_SPAN))
 
 
+def _pairs(kind: str) -> Column:
+    """(match, gap before it, context) of every match. What stands around a match is joined from the ends of the REACH gaps
+    next to it, so its cost doesn't grow with the text."""
+    matches, gaps = F.col(f"_m_{kind}"), F.col(f"_g_{kind}")
+
+    def pair(m: Column, i: Column) -> Column:
+        before = F.transform(F.slice(gaps, F.greatest(i + 2 - REACH, F.lit(1)), F.least(i + 1, F.lit(REACH))), lambda g: F.right(g, F.lit(REACH)))
+        after = F.transform(F.slice(gaps, i + 2, F.lit(REACH)), lambda g: F.left(g, F.lit(REACH)))
+        context = F.concat(F.right(F.array_join(before, " "), F.lit(REACH)), F.lit("\n"), F.left(F.array_join(after, " "), F.lit(REACH)))
+        return F.struct(m.alias("match"), F.element_at(gaps, i + 1).alias("gap"), context.alias("context"))
+
+    return F.transform(matches, pair)
+
+
 def _listed(c: Column) -> Column:
     return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
@@ -124,8 +139,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     # A column that the next projection reads more than once stays a step of its own, so regexes run once a text.
     for part, of in (("m", lambda k: F.regexp_extract_all("text", F.lit((BASE | EXTRA)[k][0]), F.lit(0))), ("g", lambda k: F.split("text", (BASE | EXTRA)[k][0], -1))):
         docs = docs.withColumns({f"_{part}_{k}": F.when(F.col("text").rlike((BASE | EXTRA)[k][1]), of(k)).otherwise(F.array().cast("array<string>")) for k in kinds})
-    pair = lambda k: F.zip_with(f"_m_{k}", F.slice(f"_g_{k}", F.lit(1), F.size(f"_m_{k}")), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    docs = docs.withColumns({f"_pairs_{k}": pair(k) for k in kinds}).drop(*[f"_{p}_{k}" for p in "mg" for k in kinds])
+    docs = docs.withColumns({f"_pairs_{k}": _pairs(k) for k in kinds}).drop(*[f"_{p}_{k}" for p in "mg" for k in kinds])
     docs = docs.withColumns({f"_{k}": _spans(k, rank) for rank, k in enumerate(kinds)}).drop(*[f"_pairs_{k}" for k in kinds])
     base = F.array_sort(F.concat(*[F.col(f"_{k}") for k in BASE]), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]))
     docs = docs.withColumn("base", base)

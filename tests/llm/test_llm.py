@@ -283,6 +283,17 @@ def test_op8_equals_python(docs_of):
     assert clean == {1: "to [EMAIL] now", 2: None, 3: "plain"}
 
 
+def test_op8_one_label_serves_a_list(docs_of):
+    from quadrille.llm.pii import digest, redact
+
+    many = "SSN " + ", ".join(f"123-45-{6000 + i}" for i in range(9))
+    rows = [(1, "SSN 123-45-6789, 234-56-7891"), (2, "call 555-123-4567 or 555-123-4568"), (3, many), (4, "555-123-4567, 555-123-4568 (mobile)"), (5, "no label 555-123-4567, 555-123-4568"), (6, "call " + "-" * 40 + " 555-123-4567")]
+    got = {r["doc_id"]: r["spans"] for r in digest(docs_of(rows)).collect()}
+    assert got[1] == "ssn:4:15,ssn:17:28" and got[2] == "national_phone:5:17,national_phone:21:33" and got[4] == "national_phone:0:12,national_phone:14:26"
+    assert got[3] == ",".join(f"ssn:{4 + 13 * i}:{15 + 13 * i}" for i in range(9)) and got[5] == got[6] == ""
+    assert {r["doc_id"]: r["text"] for r in redact(docs_of(rows)).collect()}[2] == "call [NATIONAL_PHONE] or [NATIONAL_PHONE]"
+
+
 def check_pieces(rows, got, name="byte_bpe_50k.json"):
     by, windows = {}, {}
     for r in got:
