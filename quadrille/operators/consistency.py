@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocab import TYPE, owl
 from . import lists
-from .owl_rules import SAME, THING, needs, number, of, restriction, typed
+from .owl_rules import SAME, THING, can_hold, number, of, restriction, typed
 from .reasoner import view, vocabulary
 
 
@@ -111,7 +111,7 @@ def violations(u: DataFrame, max_violations: int = 10_000) -> DataFrame:
         raise ConsistencyError(f"max_violations ({max_violations}) exceeded")
     l = lists.walk(u)  # noqa: E741
     there = vocabulary(u, tuple(DETECTORS.values()))
-    found = {n: detect(u, n, l) for n in DETECTORS if needs(DETECTORS[n]) <= there}
+    found = {n: detect(u, n, l) for n in DETECTORS if can_hold(DETECTORS[n], there)}
     every = reduce(DataFrame.union, found.values())
     counts = {r["rule"]: r["count"] for r in every.groupBy("rule").count().collect()}
     total = 0

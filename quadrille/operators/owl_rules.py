@@ -29,6 +29,26 @@ def needs(text: str) -> set[str]:
     return {m[1] for m in re.finditer(r"\b(?:p|o) = '(<[^']+>)'", text)} - {TYPE}
 
 
+def can_hold(text: str, there: set[str]) -> bool:
+    """Whether a rule's SQL can give something where only these predicates and classes occur. Of the branches of a UNION,
+    in parentheses or outside, one is enough."""
+    stack: list[tuple[bool, bool]] = []  # of open parentheses: (an earlier branch can, all of this branch can)
+    some, every = False, True
+    for m in re.finditer(r"\b(?:p|o) = '(<[^']+>)'|'[^']*'|\bUNION\b|[()]", text):
+        if m[1]:
+            every &= m[1] == TYPE or m[1] in there
+        elif m[0] == "UNION":
+            some, every = some or every, True
+        elif m[0] == "(":
+            stack.append((some, every))
+            some, every = False, True
+        elif m[0] == ")":
+            inner = some or every
+            some, every = stack.pop()
+            every &= inner
+    return some or every
+
+
 def of(p: str) -> str:
     """(s, o) of a predicate."""
     return f"(SELECT s, o FROM {{u}} WHERE p = '{p}')"

@@ -178,3 +178,9 @@ def test_shacl(g):
 def test_every_detector_fires_in_the_joint_run(g):
     load(g, 'd:x a owl:Nothing . :C owl:maxQualifiedCardinality 0 ; owl:onProperty :p ; owl:onClass owl:Thing . :i a :C ; :p :j .'.replace("d:x", ":x"))
     assert [v["rule"] for v in json.loads(g.rdf_owl_rl_consistent(None, None))] == ["cls-maxqc2", "cls-nothing2"]
+
+
+@pytest.mark.parametrize("link", ["members", "distinctMembers"])
+def test_disjoint_classes_of_either_form_are_found_in_the_joint_run(g, link):
+    load(g, f":d a owl:AllDisjointClasses ; owl:{link} (:A :B :C) . :i a :A, :C .")
+    assert [(v["rule"], v["s"], v["o"]) for v in json.loads(g.rdf_owl_rl_consistent(None, None))] == [("cax-adc", "<http://e/i>", "<http://e/A>")]
