@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,6 +32,11 @@ _A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _TOKEN = re.compile(r"[^\W_]+")
 
 
+def runs_of(host: str, path: str) -> list[str]:
+    """Runs of letters and digits of a page, marked h: or p: by where they stand."""
+    return ["h:" + r for r in _TOKEN.findall(host.lower())] + ["p:" + r for r in _TOKEN.findall(path.lower())]
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """(host, path): the host after the first ://, A-Z lower-cased; the path from its end to ?, # or the end. Both are
     empty for null or where there is no ://."""
@@ -53,8 +59,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 class Segmenter:
     """Best split of a run of letters into words by the sum of their log-probabilities (Viterbi)."""
 
-    def __init__(self, counts: dict[str, int], longest: int = LONGEST):
-        total = sum(counts.values()) + len(counts) + 1
+    def __init__(self, counts: dict[str, int], longest: int = LONGEST, total: int | None = None):
+        """total: of the whole dictionary, where counts are only the part of it that a name holds."""
+        total = total or sum(counts.values()) + len(counts) + 1
         self.score = {w: math.log((n + 1) / total) for w, n in counts.items() if 1 < len(w) <= longest}
         self.longest = max(map(len, self.score), default=1)
         self.unknown = math.log(1 / total)  # and a price per character, so that one long unknown word beats many
@@ -77,26 +84,6 @@ class Segmenter:
             end = back[end]
         return words[::-1]
 
-    def words(self, text: str) -> list[str]:
-        return [w for run in _TOKEN.findall(text.lower()) for w in (self.split(run) if run.isalpha() else [run])]
-
-
-class UrlModel:
-    def __init__(self, segmenter: Segmenter, weights: dict[str, float], prior: float):
-        self.segmenter, self.weights, self.prior = segmenter, weights, prior
-        self.known: dict[str, list[str]] = {}
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        if host not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            self.known[host] = ["h:" + w for w in self.segmenter.words(host)]
-        return self.known[host] + ["p:" + w for w in self.segmenter.words(path) if not w.isdigit()]
-
-    def score(self, host: str, path: str) -> float:
-        """Log-odds of block against allow."""
-        return self.prior + sum(self.weights.get(t, 0.0) for t in self.tokens(host, path))
-
 
 def covered(word: str, parts: set[str]) -> bool:
     """Whether two or more of parts, in a row, are the word."""
@@ -129,59 +116,87 @@ def label_words(hosts: DataFrame, seeds=SEEDS) -> DataFrame:
     return labels.join(found.mapInPandas(run, "w string"), "w", "left_anti")
 
 
-def train(pages: DataFrame, vocabulary: int = 50_000, seeds=SEEDS, strong=STRONG) -> UrlModel:
-    """Fit segmenter and classifier on all of pages(host, path).
+def split_runs(runs: DataFrame, hosts: DataFrame, seeds=SEEDS) -> DataFrame:
+    """(run, words) of distinct runs(run): the dictionary stays a table, and a run meets the words it holds by a join."""
+    spark = runs.sparkSession
+    words = common.materialise(label_words(hosts, seeds), "url-dictionary")
+    of_seed = max(50, (words.agg(F.sum("n")).first()[0] or 0) // 200)
+    words = words.where(~F.col("w").isin(*seeds)).union(spark.createDataFrame([(w, of_seed) for w in seeds], "w string, n long"))
+    total = words.agg(F.sum("n") + F.count("*") + 1).first()[0]
+    inner = F.expr(f"flatten(transform(sequence(1, length(run) - 1), i -> transform(sequence(2, least(length(run) - i + 1, {LONGEST})), k -> substring(run, i, k))))")
+    inside = runs.where(F.col("run").rlike("^\\p{L}{2,}$")).select("run", F.explode(inner).alias("w"))
+    found = inside.join(words, "w").groupBy("run").agg(F.collect_set(F.struct("w", "n")).alias("held"))
 
-    Word counts come from the labels of all hosts, which hyphens and dots separate, run-together ones left out. A page is labelled block if its
-    segmented host holds a strong seed word or two seed words, else allow; per-word counts by label cover all pages. The
-    `vocabulary` most frequent words (a bound on the model's size) are kept of either count; only they are collected.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [Segmenter({h["w"]: h["n"] for h in held} if held is not None else {}, total=total).split(r) if r.isalpha() else [r] for r, held in zip(b["run"], b["held"])]
+            yield pd.DataFrame({"run": b["run"], "words": parts})
+
+    return runs.join(found, "run", "left").mapInPandas(run, "run string, words array<string>")
+
+
+def train(rows: DataFrame, seeds=SEEDS, strong=STRONG) -> tuple[DataFrame, float]:
+    """(t, n, score) of every run of rows(host, path), and the log-odds of a page without any: naive Bayes on all pages.
+
+    Word counts come from the labels of all hosts, which hyphens and dots separate, run-together ones left out. A page is
+    labelled block if its segmented host holds a strong seed word or two seed words, else allow. Words, their counts by
+    label and the weights that follow are tables without a bound; only totals are collected. n: how often pages show a run.
     """
-    spark = pages.sparkSession
-    common.ship(spark)
-    hosts = pages.where("host <> ''").groupBy("host").agg(F.count("*").alias("n"))
-    top = label_words(hosts, seeds).orderBy(F.desc("n"), "w").limit(vocabulary).collect()
-    segmenter = Segmenter({**{r["w"]: r["n"] for r in top}, **{w: max(50, sum(r["n"] for r in top) // 200) for w in seeds}})
-    seeds, strong = set(seeds), set(strong)
-
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        empty = UrlModel(segmenter, {}, 0.0)
+    hosts = common.materialise(rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("n")), "url-hosts")
+
+    def of_hosts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([(h, t, n) for h, n in zip(b["host"], b["n"]) for t in runs_of(h, "")], columns=["host", "t", "n"])
+
+    def of_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            counts: dict[tuple[str, bool], int] = {}
-            for host, path in zip(b["host"], b["path"]):
-                tokens = empty.tokens(host, path)
-                own = {t[2:] for t in tokens if t.startswith("h:")} & seeds
-                bad = bool(own & strong) or len(own) > 1
-                for t in [*tokens, ""]:
-                    counts[t, bad] = counts.get((t, bad), 0) + 1
-            yield pd.DataFrame([(t, bad, n) for (t, bad), n in counts.items()], columns=["t", "bad", "n"])
-
-    seen = pages.select("host", "path").mapInPandas(label, "t string, bad boolean, n long").groupBy("t").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("good"))
-    rows = seen.orderBy(F.desc(F.col("bad") + F.col("good")), "t").limit(vocabulary + 1).collect()
-    number = {r["t"]: (r["bad"], r["good"]) for r in rows}
-    pages_bad, pages_good = number.pop("", (0, 0))
-    all_bad, all_good = sum(b for b, _ in number.values()), sum(g for _, g in number.values())
-    size = len(number) + 1
-    weights = {t: math.log((b + 1) / (all_bad + size)) - math.log((g + 1) / (all_good + size)) for t, (b, g) in number.items()}
-    for w in seeds:  # a seed that the pages never show still tells
-        weights.setdefault("h:" + w, math.log(size + 1) if w in strong else 0.0)
-    return UrlModel(segmenter, weights, math.log((pages_bad + 1) / (pages_good + 1)))
-
-
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+            seen = Counter((h, t) for h, p in zip(b["host"], b["path"]) for t in runs_of("", p))
+            yield pd.DataFrame([(h, t, n) for (h, t), n in seen.items()], columns=["host", "t", "n"])
+
+    kind = "host string, t string, n long"
+    shown = hosts.mapInPandas(of_hosts, kind).union(rows.select("host", "path").where("path <> ''").mapInPandas(of_paths, kind))
+    shown = common.materialise(shown.groupBy("host", "t").agg(F.sum("n").alias("n")), "url-runs")
+    run = F.substring("t", F.lit(3), F.length("t"))
+    words = common.materialise(split_runs(shown.select(run.alias("run")).distinct(), hosts, seeds), "url-words")
+
+    own = shown.where("t LIKE 'h:%'").withColumn("run", run).join(words.where(F.arrays_overlap("words", F.array(*map(F.lit, seeds)))), "run")
+    own = own.select("host", F.explode("words").alias("w")).where(F.col("w").isin(*seeds)).distinct()
+    bad = own.groupBy("host").agg((F.max(F.col("w").isin(*strong)) | (F.count("*") > 1)).alias("bad")).where("bad")
+    bad = common.materialise(bad, "url-bad")
+    label = shown.join(bad, "host", "left").groupBy("t").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum("n").alias("n"))
+    tokens = label.withColumn("run", run).join(words, "run").select("t", "n", "b", F.explode("words").alias("w"))
+    tokens = tokens.where(F.startswith("t", F.lit("h:")) | ~F.col("w").rlike("^\\p{Nd}+$")).select("t", "n", "b", F.concat(F.left("t", F.lit(2)), "w").alias("w"))
+    tokens = common.materialise(tokens, "url-tokens")
+    counts = common.materialise(tokens.groupBy("w").agg(F.sum("b").alias("b"), (F.sum("n") - F.sum("b")).alias("g")), "url-counts")
+    all_bad, all_good, size = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0)), F.count("*") + 1).first()
+    weights = counts.select("w", (F.log((F.col("b") + 1) / F.lit(all_bad + size)) - F.log((F.col("g") + 1) / F.lit(all_good + size))).alias("weight"))
+    scores = tokens.join(weights, "w").groupBy("t").agg(F.first("n").alias("n"), F.sum("weight").alias("score"))
+    pages_bad = hosts.join(bad, "host").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return common.materialise(scores, "url-scores"), math.log((pages_bad + 1) / (rows.count() - pages_bad + 1))
+
+
+def judge(pages: DataFrame, rules=RULES, head: int = 50_000) -> DataFrame:
     """pages(page_id, url): page_id, host, path, rule, verdict, score.
 
     A null url, or one without ://, has an empty host and path. The score is the log-odds of block; it decides where
-    no rule fits, and a page without any known word is allowed. Repeated rows are judged alike.
+    no rule fits. Repeated rows are judged alike. The scores of the `head` most frequent runs go to the workers; pages
+    with others get those by a join, which frequent runs then don't burden.
     """
     common.ship(pages.sparkSession)
     host, path = split_url(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    model = train(rows)
+    rows = common.materialise(pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")), "url-pages")
+    scores, prior = train(rows)
+    known = {r["t"]: r["score"] for r in scores.orderBy(F.desc("n"), "t").limit(head).collect()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(score=[model.score(h, p) if h else 0.0 for h, p in zip(b["host"], b["path"])])
-
-    scored = rows.select(F.col("page_id").cast("long").alias("page_id"), "host", "path").mapInPandas(run, "page_id long, host string, path string, score double")
+            runs = [runs_of(h, p) for h, p in zip(b["host"], b["path"])]
+            score = [prior + sum(known.get(t, 0.0) for t in ts) if h else 0.0 for h, ts in zip(b["host"], runs)]
+            yield b.assign(score=score, rest=[[t for t in ts if t not in known] for ts in runs])
+
+    scored = common.materialise(rows.mapInPandas(run, "row long, page_id long, host string, path string, score double, rest array<string>"), "url-scored")
+    rest = scored.select("row", F.explode("rest").alias("t")).join(scores.select("t", F.col("score").alias("more")), "t").groupBy("row").agg(F.sum("more").alias("more"))
+    late = scored.where("size(rest) > 0").join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
+    scored = scored.where("size(rest) = 0").unionByName(late)
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")

@@ -237,6 +237,28 @@ def test_op6_splits_names_that_pages_show(spark):
     assert [got[i] for i in (*range(50), 900, 100)] == ["block"] * 50 + ["allow"] * 2
 
 
+def test_op6_weighs_every_word(spark):
+    from quadrille.llm.urls import judge
+
+    rows = [(i, f"http://u{i}-{'casino' if i % 2 else 'meadow'}.shop/{'zz' if i % 2 else 'yy'}top/{i}x") for i in range(60)] + [(100, "http://plain.shop/zztop/q")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    whole = {r["page_id"]: (r["verdict"], r["score"]) for r in judge(pages).collect()}
+    for head in (0, 3):  # what the workers hold changes nothing
+        got = {r["page_id"]: (r["verdict"], r["score"]) for r in judge(pages, head=head).collect()}
+        assert got == {d: (v, pytest.approx(x)) for d, (v, x) in whole.items()}
+    tokens, pages_of = {}, {True: 0, False: 0}
+    for _, url in rows:
+        bad = "casino" in url
+        host, path = url[7:].split("/", 1)
+        pages_of[bad] += 1
+        for side, text in (("h:", host), ("p:", path)):
+            for w in re.findall("[^\\W_]+", text):
+                tokens.setdefault(side + w, {True: 0, False: 0})[bad] += 1
+    total = {k: sum(n[k] for n in tokens.values()) + len(tokens) + 1 for k in (True, False)}
+    want = np.log((pages_of[True] + 1) / (pages_of[False] + 1)) + sum(np.log((tokens[t][True] + 1) / total[True]) - np.log((tokens[t][False] + 1) / total[False]) for t in ("h:plain", "h:shop", "p:zztop", "p:q"))
+    assert whole[100][1] == pytest.approx(want)
+
+
 def test_op7_versions(spark, docs_of, tmp_path):
     from quadrille.llm.compaction import ShardStore
 
