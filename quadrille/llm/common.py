@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +17,6 @@ _SHIPPED: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it from anywhere."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # rows are whole texts here
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -63,12 +63,25 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(path_of(path), True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most `rows` rows, which are whole texts here, for what runs inside; then as they were."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(own) <= 0 else min(int(own), rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     writer = df.write.option("compression", compression) if compression else df.write
-    writer.parquet(path)
+    with small_batches(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -81,6 +94,32 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), spark.sparkContext.defaultParallelism)
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """What the optimiser knows of df's size (that of its files, by the share of the columns read); 0 where it knows nothing."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in views of at most `rows` rows: as Python objects, whole texts take several times their bytes."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def strings(column) -> list[str]:
+    """An Arrow column of texts; null is empty."""
+    return [t or "" for t in column.to_pylist()]
+
+
 def prefix_sums(df: DataFrame, key: str, values: list[str], within: list[str] = (), block: int = 1024) -> DataFrame:
     """Exclusive running sums of `values` in the order of the integer `key` (unique per `within` group).
 

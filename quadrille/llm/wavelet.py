@@ -12,7 +12,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,18 +36,19 @@ class WaveletMatrix:
         planes, zeros = np.zeros((bits, width), dtype=np.uint8), np.zeros(bits, dtype=np.int64)
         seq = ids.astype(np.uint32 if bits > 16 else np.uint16)
         for level in range(bits):
-            one = (seq >> (bits - 1 - level)) & 1 == 1
+            one = (seq & seq.dtype.type(1 << (bits - 1 - level))).astype(bool)
             packed = np.packbits(one)
             planes[level, : len(packed)] = packed
-            zero = ~one
-            zeros[level] = np.count_nonzero(zero)
-            seq = np.concatenate((seq[zero], seq[one]))
+            after = seq.take(np.flatnonzero(one))  # positions, then take: masks would mispredict every other bit
+            before = seq.take(np.flatnonzero(~one))
+            zeros[level] = len(before)
+            seq = np.concatenate((before, after))
         return cls(n, bits, zeros, planes, cls._directory(planes))
 
     @staticmethod
     def _directory(planes: np.ndarray) -> np.ndarray:
         bits, width = planes.shape
-        ones = _ONES[planes].reshape(bits, width // (_SPAN // 8), _SPAN // 8).sum(axis=2, dtype=np.int64)
+        ones = np.bitwise_count(planes.view(np.uint64)).reshape(bits, width // (_SPAN // 8), _SPAN // 64).sum(axis=2, dtype=np.int64)
         return np.concatenate((np.zeros((bits, 1), dtype=np.int64), np.cumsum(ones, axis=1)), axis=1).astype("<u4")
 
     def to_bytes(self) -> bytes:
@@ -72,8 +74,8 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n).view(bool)
             merged, z = np.empty_like(seq), self.zeros[level]
-            merged[~one] = seq[:z]
-            merged[one] = seq[z:] | seq.dtype.type(1 << (self.bits - 1 - level))
+            merged[np.flatnonzero(~one)] = seq[:z]
+            merged[np.flatnonzero(one)] = seq[z:] | seq.dtype.type(1 << (self.bits - 1 - level))
             seq = merged
         return seq
 
@@ -106,27 +108,31 @@ class WaveletMatrix:
             at = np.where(bit == 1, self.zeros[level] + ones, at - ones)
         return out
 
+    def ranks_of(self, token: int, ends) -> np.ndarray:
+        """Occurrences of the token before each of the positions `ends`."""
+        return self._descend(token, ends)[1]
+
     def rank(self, token: int, end: int) -> int:
         """Occurrences of the token before position `end`."""
-        low, high = self._descend(token, end)
-        return int(high - low)
+        return int(self.ranks_of(token, [end])[0])
 
     def count(self, token: int) -> int:
         return self.rank(token, self.n)
 
-    def _descend(self, token: int, end: int) -> tuple[int, int]:
-        low, high = np.array([0]), np.array([min(end, self.n)])
+    def _descend(self, token: int, ends) -> tuple[int, np.ndarray]:
+        """(where the token's run starts past the last plane, its occurrences before each position)."""
+        at = np.concatenate(([0], np.minimum(np.asarray(ends, dtype=np.int64), self.n)))
         if token < 0 or token >> self.bits:
-            return 0, 0
+            return 0, np.zeros(len(at) - 1, dtype=np.int64)
         for level in range(self.bits):
-            a, b = self._rank1(level, low), self._rank1(level, high)
-            low, high = (self.zeros[level] + a, self.zeros[level] + b) if token >> (self.bits - 1 - level) & 1 else (low - a, high - b)
-        return int(low[0]), int(high[0])
+            ones = self._rank1(level, at)
+            at = self.zeros[level] + ones if token >> (self.bits - 1 - level) & 1 else at - ones
+        return int(at[0]), at[1:] - at[0]
 
     def select(self, token: int, k: int) -> int:
         """Position of the k-th occurrence (from 0); -1 if there is none."""
-        low, high = self._descend(token, self.n)
-        if not 0 <= k < high - low:
+        low, found = self._descend(token, [self.n])
+        if not 0 <= k < found[0]:
             return -1
         at = low + k
         for level in range(self.bits - 1, -1, -1):
@@ -143,80 +149,117 @@ class WaveletMatrix:
         return span * _SPAN + int(np.flatnonzero(bits == one)[k - before[span]])
 
 
-def pack_shard(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
-    """One file: number of documents, their ids and lengths, then the matrix of all their tokens."""
-    return struct.pack("<Q", len(doc_ids)) + doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + WaveletMatrix.build(ids, bits).to_bytes()
+def pack_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, bits: int) -> bytes:
+    """One file: numbers of documents and of those without an id, which come first, their ids and lengths, then the matrix
+    of all their tokens."""
+    nulls = doc_ids.count(None)
+    names = np.array([0] * nulls + doc_ids[nulls:], dtype="<i8")
+    return struct.pack("<QQ", len(doc_ids), nulls) + names.tobytes() + lengths.astype("<i8").tobytes() + WaveletMatrix.build(ids, bits).to_bytes()
 
 
-def unpack_shard(raw: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
-    (n,) = struct.unpack_from("<Q", raw)
-    return np.frombuffer(raw, "<i8", n, 8), np.frombuffer(raw, "<i8", n, 8 + 8 * n), WaveletMatrix.from_bytes(raw[8 + 16 * n :])
+def unpack_shard(raw: bytes) -> tuple[np.ndarray, int, np.ndarray, WaveletMatrix]:
+    n, nulls = struct.unpack_from("<QQ", raw)
+    return np.frombuffer(raw, "<i8", n, 16), nulls, np.frombuffer(raw, "<i8", n, 16 + 8 * n), WaveletMatrix.from_bytes(raw[16 + 16 * n :])
 
 
 def write_shards(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, shard_tokens: int = 2_000_000, range_bytes: int = 16 << 20, bits: int = 16) -> DataFrame:
     """Encode docs(doc_id, text) and write wavelet shards in ascending doc_id order to the shared folder.
 
-    Returns the files as read back: (shard long, ascending in doc_id; n_tokens long; payload binary). Rows without a
-    doc_id are left out of the order and of the files' result as they have no place in it; a null text is an empty one;
-    repeated doc_ids keep one entry each, ordered by their ids' bytes. A shard file holds `shard_tokens` tokens at most
-    unless one document is longer.
+    Returns the files as read back: (shard long, ascending in doc_id; n_tokens long; payload binary). Documents without
+    a doc_id come first; a null text is an empty one; rows that repeat a doc_id keep one entry each, in the order of a
+    hash of their texts. A shard file holds `shard_tokens` tokens at most unless one document is longer.
+
+    Texts are dealt to ranges of (doc_id, hash of the text, row), as many as their stored size has `range_bytes`, so that
+    neither a hot doc_id nor growth fills a task; a task encodes its range and writes its files in one pass.
     """
     spark = docs.sparkSession
     common.ship(spark)
     vocabulary = vocabulary or vocabulary_path(WORD_BPE)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    ranges = min(10_000, max(2 * common.parallelism(spark), -(-total // range_bytes)))
-    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 20_000)).first()[0] if ranges > 1 else []
-    bounds = np.unique(np.asarray(cuts or [], dtype=np.int64))
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc, end = encoder(vocabulary), np.asarray([end_id], dtype="<u2").tobytes()
-        for b in batches:
-            yield pd.DataFrame({"range": np.searchsorted(bounds, b["doc_id"], side="right").astype(np.int64), "doc_id": b["doc_id"], "ids": [x + end for x in enc.encode(b["text"].tolist())]})
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, bytes]] = []
-        now, part, size = None, 0, 0
-
-        def flush():
-            ids = np.frombuffer(b"".join(x for _, x in held), "<u2")
-            raw = pack_shard(np.array([d for d, _ in held], dtype=np.int64), np.array([len(x) // 2 for _, x in held], dtype=np.int64), ids, bits)
-            return pd.DataFrame({"shard": [(int(now) << 24) + part], "n_tokens": [len(ids)], "payload": [raw]})
-
-        for b in batches:
-            for r, d, x in zip(b["range"], b["doc_id"], b["ids"]):
-                if held and (r != now or size + len(x) // 2 > shard_tokens):
+    ranges = max(common.parallelism(spark), -(-common.size_in_bytes(docs.select("doc_id", "text")) // range_bytes))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("*", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc, end, shard = encoder(vocabulary), np.asarray([end_id], dtype="<u2").tobytes(), TaskContext.get().partitionId() << 24
+        names: list[int | None] = []
+        held: list[bytes] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            raw = pack_shard(names, np.array([len(x) // 2 for x in held], dtype=np.int64), np.frombuffer(b"".join(held), "<u2"), bits)
+            return pa.record_batch([pa.array([shard], pa.int64()), pa.array([size], pa.int64()), pa.array([raw], pa.binary())], ["shard", "n_tokens", "payload"])
+
+        for b in common.slices(batches):
+            for d, x in zip(b.column("doc_id").to_pylist(), enc.encode(common.strings(b.column("text")))):
+                x += end
+                if held and size + len(x) // 2 > shard_tokens:
                     yield flush()
-                    part = part + 1 if r == now else 0
-                    held, size = [], 0
-                elif r != now:
-                    part = 0
-                now = r
-                held.append((d, x))
+                    names, held, size, shard = [], [], 0, shard + 1
+                names.append(d)
+                held.append(x)
                 size += len(x) // 2
         if held:
             yield flush()
 
-    coded = docs.mapInPandas(encode, "range long, doc_id long, ids binary")
-    coded = coded.repartition(min(ranges, max(common.parallelism(spark), ranges // 4)), "range").sortWithinPartitions("range", "doc_id", "ids")
-    return common.materialise(coded.mapInPandas(build, "shard long, n_tokens long, payload binary"), "wavelet")
+    dealt = docs.repartitionByRange(ranges, F.asc_nulls_first("doc_id"), "hash", "row").sortWithinPartitions(F.asc_nulls_first("doc_id"), "hash", "row")
+    return common.materialise(dealt.select("doc_id", "text").mapInArrow(build, "shard long, n_tokens long, payload binary"), "wavelet")
 
 
-def read_digests(files: DataFrame) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, shard."""
+def _on_files(files: DataFrame, schema: str, rows_of) -> DataFrame:
+    """rows_of(matrix, doc_ids, number without an id, lengths) of every file as columns, behind the shard's number."""
     common.ship(files.sparkSession)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches, 1):
+            doc_ids, nulls, lengths, matrix = unpack_shard(b.column("payload")[0].as_py())
+            columns = rows_of(matrix, doc_ids, nulls, lengths)
+            yield pa.record_batch([pa.array(np.full(len(columns[0]), b.column("shard")[0].as_py())), *columns], names)
+
+    return common.materialise(files.select("shard", "payload").mapInArrow(run, schema), "wavelet-rows")
+
+
+def _named(doc_ids: np.ndarray, nulls: int) -> pa.Array:
+    return pa.array(doc_ids, mask=np.arange(len(doc_ids)) < nulls)
+
+
+def starts(files: DataFrame) -> DataFrame:
+    """(shard, before): tokens of all files before each; one row a file, summed by blocks."""
+    return common.prefix_sums(files.select("shard", "n_tokens"), "shard", ["n_tokens"], block=1 << 24).select("shard", F.col("n_tokens_before").alias("before"))
+
+
+def read_digests(files: DataFrame, end_id: int = 2) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens, ids_crc32, shard, n_end (occurrences of end_id, by rank)."""
+
+    def digest(matrix: WaveletMatrix, doc_ids: np.ndarray, nulls: int, lengths: np.ndarray) -> list[pa.Array]:
+        ids = matrix.tokens().astype("<u4")
+        ends = np.cumsum(lengths)
+        local = ends - lengths
+        crc = [zlib.crc32(ids[s:e]) for s, e in zip(local.tolist(), ends.tolist())]
+        return [_named(doc_ids, nulls), pa.array(local), pa.array(lengths), pa.array(crc, pa.int64()), pa.array(matrix.ranks_of(end_id, ends) - matrix.ranks_of(end_id, local))]
+
+    rows = _on_files(files, "shard long, doc_id long, local long, n_tokens long, ids_crc32 long, n_end long", digest)
+    return rows.join(starts(files), "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard", "n_end")
+
+
+def count_tokens(files: DataFrame, tokens: list[int]) -> DataFrame:
+    """(token, n): occurrences of each token in all files, by rank alone; 0 where there is none."""
+
+    def count(matrix: WaveletMatrix, doc_ids: np.ndarray, nulls: int, lengths: np.ndarray) -> list[pa.Array]:
+        return [pa.array(tokens, pa.int64()), pa.array([matrix.count(t) for t in tokens], pa.int64())]
+
+    wanted = files.sparkSession.createDataFrame([(t,) for t in tokens], "token long")
+    return wanted.join(_on_files(files, "shard long, token long, n long", count).groupBy("token").agg(F.sum("n").alias("n")), "token", "left").select("token", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def find_token(files: DataFrame, token: int) -> DataFrame:
+    """(doc_id, at, position): every occurrence of the token, by select: its place in its document and among all tokens."""
+
+    def find(matrix: WaveletMatrix, doc_ids: np.ndarray, nulls: int, lengths: np.ndarray) -> list[pa.Array]:
+        where = np.array([matrix.select(token, k) for k in range(matrix.count(token))], dtype=np.int64)
+        ends = np.cumsum(lengths)
+        doc = np.searchsorted(ends, where, side="right")
+        return [_named(doc_ids, nulls).take(pa.array(doc)), pa.array(where - (ends - lengths)[doc]), pa.array(where)]
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for shard, raw in zip(b["shard"], b["payload"]):
-                doc_ids, lengths, matrix = unpack_shard(raw)
-                ids = matrix.tokens().astype("<u4")
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                yield pd.DataFrame({"shard": np.full(len(doc_ids), shard), "doc_id": doc_ids, "local": starts, "n_tokens": lengths, "ids_crc32": np.array(crc, dtype=np.int64)})
-
-    rows = files.select("shard", "payload").mapInPandas(decode, "shard long, doc_id long, local long, n_tokens long, ids_crc32 long")
-    before = common.prefix_sums(files.select("shard", "n_tokens"), "shard", ["n_tokens"], block=1 << 24).select("shard", "n_tokens_before")
-    return rows.join(before, "shard").select("doc_id", (F.col("n_tokens_before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    rows = _on_files(files, "shard long, doc_id long, at long, local long", find)
+    return rows.join(starts(files), "shard").select("doc_id", "at", (F.col("before") + F.col("local")).alias("position"))
