@@ -12,7 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,59 +125,67 @@ def locate(plan: np.ndarray, length: np.ndarray, rank: np.ndarray, capacity: int
         who, start = who[more], start[more]
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = 1024, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = 1024, with_ids: bool = False, small: int = 4096) -> DataFrame:
     """Pack docs(doc_id, text): per piece doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     A null text is an empty one (its end id alone), a null or repeated doc_id is a document of its own. Sequences
-    are full but for at most ten, which are powers of two. Token ids are written once to the shared folder; ranks
-    within a length count within a task first and are offset by the sums over tasks, so that a length that many
-    documents share never meets in one task.
+    are full but for at most ten, which are powers of two. Token ids are written once to the shared folder and don't
+    move again: ranks within a length count within a task first, and each task's sums over the tasks before it (one row
+    of at most `capacity` numbers) are broadcast where there are at most `small` tasks, else joined by a shuffle.
     """
     spark = docs.sparkSession
     common.ship(spark)
     vocabulary = vocabulary or vocabulary_path(BYTE_BPE)
+    kind = "task long, doc_id long, doc_tokens long, rest long, rank long, whole_before long, ids binary"
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end, task = encoder(vocabulary), np.asarray([end_id], dtype="<u2").tobytes(), TaskContext.get().partitionId()
-        seen, number, full = np.zeros(capacity, dtype=np.int64), 0, 0
-        for b in batches:
-            ids = [x + end for x in enc.encode(b["text"].tolist())]
+        seen, full = [0] * capacity, 0
+        for b in common.slices(batches):
+            ids = [x + end for x in enc.encode(common.strings(b.column("text")))]
             n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
             rest, rank = n % capacity, np.zeros(len(n), dtype=np.int64)
             for i, r in enumerate(rest.tolist()):
                 rank[i] = seen[r]
                 seen[r] += 1
             whole = n // capacity
-            yield pd.DataFrame({"task": task, "number": number + np.arange(len(n)), "doc_id": b["doc_id"], "doc_tokens": n, "rest": rest, "rank": rank, "whole_before": full + np.cumsum(whole) - whole, "ids": ids})
-            number, full = number + len(n), full + int(whole.sum())
+            columns = [np.full(len(n), task, dtype=np.int64), b.column("doc_id"), n, rest, rank, full + np.cumsum(whole) - whole, pa.array(ids, pa.binary())]
+            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in kind.split(", ")])
+            full += int(whole.sum())
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    coded = common.materialise(texts.mapInPandas(encode, "task long, number long, doc_id long, doc_tokens long, rest long, rank long, whole_before long, ids binary"), "packing-ids")
+    coded = common.materialise(texts.mapInArrow(encode, kind), "packing-ids")
 
-    per = coded.groupBy("task", "rest").agg(F.count("*").alias("n"))
+    per = common.materialise(coded.groupBy("task", "rest").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("doc_tokens") / capacity)).cast("long").alias("whole")), "packing-counts")
     before = Window.partitionBy("rest").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     ranks = per.select("task", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rank_before"))
-    wholes = common.prefix_sums(coded.groupBy("task").agg(F.sum(F.floor(F.col("doc_tokens") / capacity)).cast("long").alias("whole")), "task", ["whole"]).select("task", F.col("whole_before").alias("task_before"))
+    ranks = ranks.groupBy("task").agg(F.map_from_entries(F.collect_list(F.struct("rest", "rank_before"))).alias("ranks"))  # at most `capacity` entries
+    wholes = common.prefix_sums(per.groupBy("task").agg(F.sum("whole").alias("whole")), "task", ["whole"]).select("task", F.col("whole_before").alias("task_before"))
     histogram = {r["rest"]: r["n"] for r in per.groupBy("rest").agg(F.sum("n").alias("n")).collect()}  # fewer than capacity rows
     plan, packed = plan_windows(histogram, capacity)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else "")
 
-    placed = coded.select("task", "number", "rest", "rank", "whole_before").join(ranks, ["task", "rest"]).join(wholes, "task")
-    placed = placed.select("task", "number", (F.col("rank") + F.col("rank_before")).alias("rank"), (F.col("whole_before") + F.col("task_before") + F.lit(packed)).alias("first"))
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            n, rest, raw = b["doc_tokens"].to_numpy(), b["rest"].to_numpy(), b["ids"].tolist()
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            n, rest, rank, first = (b.column(c).to_numpy() for c in ("doc_tokens", "rest", "rank", "first"))
+            raw = b.column("ids").to_pylist()
             whole = n // capacity
             who = np.repeat(np.arange(len(n)), whole)
             nth = np.arange(len(who)) - np.repeat(np.cumsum(whole) - whole, whole)
-            parts = [(who, nth * capacity, np.full(len(who), capacity), b["first"].to_numpy()[who] + nth, np.zeros(len(who), dtype=np.int64))]
-            parts += [(w, whole[w] * capacity + s, k, q, o) for w, s, k, q, o in locate(plan, rest, b["rank"].to_numpy(), capacity)]
+            parts = [(who, nth * capacity, np.full(len(who), capacity), first[who] + nth, np.zeros(len(who), dtype=np.int64))]
+            parts += [(w, whole[w] * capacity + s, k, q, o) for w, s, k, q, o in locate(plan, rest, rank, capacity)]
             who, start, size, sequence, offset = (np.concatenate(x) for x in zip(*parts))
             for at in range(0, len(who), 8192):
                 cut = slice(at, at + 8192)
                 ids = [np.frombuffer(raw[w], "<u2", k, 2 * s).astype("<u4") for w, s, k in zip(who[cut].tolist(), start[cut].tolist(), size[cut].tolist())]
-                out = {"doc_id": b["doc_id"].iloc[who[cut]].to_numpy(), "start": start[cut], "length": size[cut], "ids_crc32": [zlib.crc32(x) for x in ids], "doc_tokens": n[who[cut]], "sequence_id": sequence[cut], "offset": offset[cut]}
-                yield pd.DataFrame(out | ({"ids": [x.tolist() for x in ids]} if with_ids else {}))
-
-    joined = coded.select("task", "number", "doc_id", "doc_tokens", "rest", "ids").join(placed, ["task", "number"])
-    return joined.mapInPandas(pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<long>" if with_ids else ""))
+                out = [b.column("doc_id").take(pa.array(who[cut])), start[cut], size[cut], [zlib.crc32(x) for x in ids], n[who[cut]], sequence[cut], offset[cut]]
+                out = [c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in out] + ([pa.array([x.tolist() for x in ids], pa.list_(pa.int64()))] if with_ids else [])
+                yield pa.record_batch(out, [c.split()[0] for c in schema.split(", ")])
+
+    tasks = ranks.join(wholes, "task")
+    if per.select("task").distinct().count() <= small:
+        tasks = F.broadcast(tasks)
+    placed = coded.join(tasks, "task").select(
+        "doc_id", "doc_tokens", "rest", "ids", (F.col("rank") + F.element_at("ranks", F.col("rest"))).alias("rank"), (F.col("whole_before") + F.col("task_before") + F.lit(packed)).alias("first")
+    )
+    return common.materialise(placed.mapInArrow(pieces, schema), "packing-pieces")

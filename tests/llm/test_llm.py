@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import re
 import zlib
@@ -7,14 +8,19 @@ import pytest
 
 SAMPLE = [(5, "The quick brown fox's naïve 2½ plans, don't stop!\n\nNext  line"), (3, ""), (9, None), (7, "x" * 3000), (1, "héé日本 ٣ Σας İ " * 40), (12, "a b c d e f g"), (12, "a b c d e f g"), (-4, " lead")]
 
+BIG = (1 << 60) + 1  # beyond what a double holds
 
-def ids_of(name, text, end):
+
+@functools.cache
+def library(name):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return np.array(t.encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+def ids_of(name, text, end):
+    return np.array(library(name).encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -22,9 +28,15 @@ def test_cached_encoder_equals_the_library(name):
     from quadrille.llm.tokens import CachedEncoder, vocabulary_path
 
     enc = CachedEncoder(vocabulary_path(name), cap=20)
-    texts = [t or "" for _, t in SAMPLE] + ["a\x1cb c", "<|endoftext|> hi", "x'll'd' 's", "tab\t\tend ", "ﬁ ẞ Ǆ ½²³", "a   b\n c"]
-    for _ in range(2):
-        for text, raw in zip(texts, enc.encode(texts)):
+    import random
+
+    rnd = random.Random(1)
+    bits = ["The", " ", "  ", "\n", " \n", "don't", "'s", "é", "É", "日本", "\t", "\x1c", "\0", "Σας", "İ", "...", ", ", "12", "½", "a", "ﬁ", "\u0301", "<|endoftext|>", "\xa0", "　", " x", "'ll", "_", "\r\n", "\x85", "😀", "Ġ", "ǅ", "'re", "'S", "x" * 300]
+    mixed = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 14))) for _ in range(1500)]
+    mixed += [t for t in ("".join(rnd.choice([b for b in bits if max(b) < "Ā"]) for _ in range(12)) for _ in range(1500))]
+    texts = mixed + [t or "" for _, t in SAMPLE] + ["a\x1cb c", "<|endoftext|> hi", "x'll'd' 's", "tab\t\tend ", "ﬁ ẞ Ǆ ½²³", "a   b\n c"]
+    for step in (500_000, 300):
+        for text, raw in zip(texts, enc.encode(texts, step)):
             assert (np.frombuffer(raw, "<u2") == ids_of(name, text, 0)[:-1]).all(), text
 
 
@@ -48,15 +60,22 @@ def test_wavelet_matrix_queries():
 
 
 def test_op1_round_trip(docs_of):
-    from quadrille.llm.wavelet import read_digests, write_shards
+    from quadrille.llm.wavelet import count_tokens, find_token, read_digests, write_shards
 
-    rows = sorted(((d, ids_of("word_bpe_49k.json", t, 2)) for d, t in SAMPLE), key=lambda x: x[0])
-    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in read_digests(write_shards(docs_of(SAMPLE + [(None, "no id")]), shard_tokens=100)).collect())
+    sample = SAMPLE + [(None, "no id"), (BIG, "big"), (BIG + 1, "bigger"), (BIG + 1, "bigger")]
+    rows = sorted(((-(1 << 62) if d is None else d, ids_of("word_bpe_49k.json", t, 2)) for d, t in sample), key=lambda x: x[0])
+    files = write_shards(docs_of(sample), shard_tokens=100)
+    got = sorted((-(1 << 62) if r["doc_id"] is None else r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], r["n_end"]) for r in read_digests(files).collect())
     want, at = [], 0
     for d, ids in rows:
-        want.append((d, at, len(ids), zlib.crc32(ids.tobytes())))
+        want.append((d, at, len(ids), zlib.crc32(ids.tobytes()), int((ids == 2).sum())))
         at += len(ids)
     assert got == want
+    every = np.concatenate([ids for _, ids in rows])
+    tokens = [2, int(every[0]), 49000]
+    assert {r["token"]: r["n"] for r in count_tokens(files, tokens).collect()} == {t: int((every == t).sum()) for t in tokens}
+    found = sorted(r["position"] for r in find_token(files, tokens[1]).collect())
+    assert found == np.flatnonzero(every == tokens[1]).tolist()
     assert read_digests(write_shards(docs_of([]))).count() == 0
 
 
@@ -342,8 +361,9 @@ def test_op9_packs_without_loss(docs_of):
 
     assert sum(k * n for k, n in best_fill({5: 3, 7: 2}, 22).items()) == 22
     rng = np.random.default_rng(9)
-    rows = [(i, " ".join(["word"] * int(rng.integers(0, 1500)))) for i in range(60)] + [(100, None), (101, ""), (102, "x y " * 3000)]
+    rows = [(i, " ".join(["word"] * int(rng.integers(0, 1500)))) for i in range(60)] + [(100, None), (101, ""), (102, "x y " * 3000), (None, "no id"), (BIG, "big"), (BIG + 1, "bigger")]
     windows = check_pieces(rows, pack(docs_of(rows)).collect())
+    assert check_pieces(rows, pack(docs_of(rows), small=0).collect()) and pack(docs_of([(1, "same")] * 5)).count() >= 5
     assert sum(sum(n for _, n in w) < 1024 for w in windows.values()) <= 10
     assert pack(docs_of([])).count() == 0
 
