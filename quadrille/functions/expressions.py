@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,7 +21,8 @@ _NUMBER = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
 
 @dataclass
 class Value:
-    """kind: term (encoded), bool, str (a simple literal's text), num (rank, dec, dbl)."""
+    """kind: term (encoded), bool, str (a simple literal's text), num (rank, dec, dbl). hint: what is known of all values of a
+    term: integer, decimal (both written in one way only), dateTime, string or iri; empty where nothing is."""
 
     kind: str
     col: Column | None = None
@@ -28,10 +30,30 @@ class Value:
     dec: Column | None = None
     dbl: Column | None = None
     const: str | None = None
+    hint: str = ""
 
 
-def term(c: Column, const: str | None = None) -> Value:
-    return Value("term", c, const=const)
+#: Kinds of literals that mapped columns give, of which every value is written in one way: rank, and what the number is cast to.
+CANONICAL = {"integer": (0, "decimal(28,0)"), "decimal": (1, "decimal(28,2)")}
+
+
+def term(c: Column, const: str | None = None, hint: str = "") -> Value:
+    return Value("term", c, const=const, hint=hint)
+
+
+def inner(c: Column, hint: str) -> Column:
+    """Lexical form of a literal of a known kind, by position."""
+    tail = 1 if hint == "string" else len(f'"^^<{XSD}{hint}>')
+    return F.substring(c, F.lit(2), F.length(c) - (tail + 1))
+
+
+def bare(c: Column, hint: str) -> Column:
+    """Text of a string or IRI of known kind, without its marks: their order is that of terms."""
+    return inner(c, hint) if hint == "string" else F.substring(c, F.lit(2), F.length(c) - 2)
+
+
+def written(number: Column, hint: str) -> Column:
+    return T.as_literal(number.cast(CANONICAL[hint][1]), XSD + hint)
 
 
 def string(c: Column) -> Value:
@@ -69,6 +91,8 @@ def string_arg(v: Value) -> Column:
     """Text of a string literal, plain or with a language; NULL for others."""
     if v.kind == "str":
         return v.col
+    if v.hint == "string":
+        return inner(v.col, "string")
     t = to_term(v)
     return F.when(~t.rlike(r'"\^\^<[^">]*>$'), T.lexical(t))
 
@@ -80,7 +104,10 @@ def _double(text: Column) -> Column:
 def to_num(v: Value) -> Value:
     if v.kind == "num":
         return v
-    if v.kind != "term":
+    if v.hint in CANONICAL:
+        dec = inner(v.col, v.hint).try_cast(DEC)
+        return Value("num", rank=F.when(dec.isNotNull(), CANONICAL[v.hint][0]), dec=dec, dbl=dec.cast("double"))
+    if v.kind != "term" or v.hint:
         none = F.lit(None)
         return Value("num", rank=none.cast("int"), dec=none.cast(DEC), dbl=none.cast("double"))
     lex, rank = T.lexical(v.col), T.rank_of(v.col)
@@ -113,6 +140,8 @@ def _kind_of(v: Value) -> str | None:
     """What a constant is known to be."""
     if v.kind != "term":
         return v.kind
+    if v.hint:
+        return "num" if v.hint in CANONICAL else {"dateTime": "time", "string": "str", "iri": "iri"}[v.hint]
     if v.const is None:
         return None
     if not v.const.startswith('"'):
@@ -124,11 +153,23 @@ def _kind_of(v: Value) -> str | None:
     return "str" if m[0] == '"' else None
 
 
+def _exact(v: Value):
+    """The number of a constant integer or decimal that fits the exact type; else None."""
+    m = re.fullmatch(rf'"([+-]?[0-9]{{1,18}}(?:\.[0-9]{{1,8}})?)"\^\^<{re.escape(XSD)}(?:integer|decimal)>', v.const or "")
+    return Decimal(m[1]) if m else None
+
+
 def compare(op: str, a: Value, b: Value) -> Column:
     f = {"=": lambda x, y: x == y, "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y}[op]
     known = _kind_of(a) or _kind_of(b)
     if known == "iri" and op == "=":
         return to_term(a) == to_term(b)
+    if known == "num" and all(v.hint in CANONICAL or _exact(v) is not None for v in (a, b)):
+        x, y = (F.lit(_exact(v)).cast(DEC) if _exact(v) is not None else to_num(v).dec for v in (a, b))
+        return f(x, y)
+    if known == "str" and all(_kind_of(v) == "str" for v in (a, b)):
+        x, y = (v.col if v.kind == "str" else F.lit(v.const[1:-1]) if v.const is not None else inner(v.col, "string") for v in (a, b))
+        return f(x, y)
     out = F.lit(None).cast("boolean")
     same = to_term(a) == to_term(b)
     if op == "=":
@@ -137,7 +178,7 @@ def compare(op: str, a: Value, b: Value) -> Column:
         x, y = (v.col if v.kind == "bool" else F.when(T.datatype_of(to_term(v)) == XSD + "boolean", T.lexical(to_term(v)).isin("true", "1")) for v in (a, b))
         out = F.when(x.isNotNull() & y.isNotNull(), f(x, y)).otherwise(out)
     if known in (None, "time"):
-        times = [F.when(T.datatype_of(to_term(v)).isin(XSD + "dateTime", XSD + "date"), T.lexical(to_term(v)).try_cast("timestamp")) for v in (a, b)]
+        times = [_time(v).try_cast("timestamp") for v in (a, b)]
         out = F.when(times[0].isNotNull() & times[1].isNotNull(), f(*times)).otherwise(out)
     if known in (None, "str"):
         x, y = (v.col if v.kind == "str" else F.when(T.datatype_of(to_term(v)) == XSD + "string", T.lexical(to_term(v))) for v in (a, b))
@@ -149,11 +190,16 @@ def compare(op: str, a: Value, b: Value) -> Column:
     return F.when(to_term(a).isNotNull() & to_term(b).isNotNull(), out)
 
 
-def order_keys(c: Column) -> list[Column]:
+def order_keys(v: Value) -> list[Column]:
     """Unbound < blank < IRI < literal < triple; numbers by value, before other literals; then text."""
+    if v.hint in CANONICAL:
+        return [to_num(v).dec]
+    c = to_term(v)
+    if v.hint in ("string", "iri"):
+        return [bare(c, v.hint)]
     kind = F.when(c.isNull(), 0).when(T.is_blank(c), 1).when(T.is_quoted(c), 4).when(T.is_iri(c), 2).otherwise(3)
-    n = to_num(term(c))
-    return [kind, F.when(n.dbl.isNotNull(), 0).otherwise(1), F.coalesce(n.dec.cast("double"), n.dbl), F.coalesce(T.text_of(c), c)]
+    n = to_num(term(c))  # doubles first, then exact values, which tell apart what doubles can't
+    return [kind, F.when(n.dbl.isNotNull(), 0).otherwise(1), F.coalesce(n.dec.cast("double"), n.dbl), n.dec, F.coalesce(T.text_of(c), c)]
 
 
 def _rebuild(source: Value, text: Column) -> Value:
@@ -174,6 +220,8 @@ def _regex(pattern: Column, flags: Column | None) -> Column:
 
 
 def _time(v: Value) -> Column:
+    if v.hint:
+        return inner(v.col, v.hint) if v.hint == "dateTime" else F.lit(None).cast("string")
     return F.when(T.datatype_of(to_term(v)).isin(XSD + "dateTime", XSD + "date"), T.lexical(to_term(v)))
 
 
@@ -200,13 +248,13 @@ def _cast(name: str, v: Value) -> Value:
 class Compiler:
     """Compiles expressions given `column(name)` for variables and hooks for aggregates and EXISTS."""
 
-    def __init__(self, column: Callable[[str], Column | None], aggregate: Callable | None = None, exists: Callable | None = None, error: type[Exception] = ValueError, base: str = ""):
-        self.column, self.aggregate, self.exists, self.error = column, aggregate, exists, error
+    def __init__(self, column: Callable[[str], Column | None], aggregate: Callable | None = None, exists: Callable | None = None, error: type[Exception] = ValueError, base: str = "", kinds: dict | None = None):
+        self.column, self.aggregate, self.exists, self.error, self.kinds = column, aggregate, exists, error, kinds or {}
 
     def __call__(self, e) -> Value:
         if isinstance(e, Var):
             c = self.column(e.name)
-            return term(F.lit(None).cast("string") if c is None else c)
+            return term(F.lit(None).cast("string")) if c is None else term(c, hint=self.kinds.get(e.name, ""))
         if isinstance(e, str):
             return term(F.lit(e), e)
         if isinstance(e, Agg):

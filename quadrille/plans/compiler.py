@@ -6,13 +6,14 @@ Joins on variables that are surely bound are equi-joins, which Catalyst plans; o
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import DEC, Compiler, Value, integer, order_keys, quoted_parts, string, string_arg, term, to_bool, to_num, to_term
+from ..functions.expressions import CANONICAL, DEC, Compiler, Value, bare, integer, order_keys, quoted_parts, string, string_arg, term, to_bool, to_num, to_term, written
+from ..functions import terms as T
 from ..functions.terms import is_blank, is_iri, is_literal
 from ..operators import closure
 from .algebra import BGP, Agg, Call, Exists, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Query, Quoted, Service, Union, Values, Var, variables
@@ -30,30 +31,92 @@ class QuadTable:
         return self.quads if predicate is None else self.quads.where(F.col("p") == predicate)
 
 
+@dataclass
+class Mapped:
+    """How values of one position stand in a row: the encoded term, what is known of all of them (a kind of literal, or
+    `iri`), and the row's own column where equality with a constant can be tested on it."""
+
+    term: Column
+    kind: str
+    column: str | None = None
+    prefix: str = ""
+
+    def same(self, constant: str) -> Column | None:
+        """Equality with a constant on the row's own column, which the scan can push down; None where it has none."""
+        if self.column is None:
+            return None
+        if self.kind == "iri":
+            key = constant[len(self.prefix) : -1] if constant.startswith(self.prefix) else ""
+            return F.col(self.column) == int(key) if key.isdigit() and len(key) < 18 else F.lit(False)
+        return F.col(self.column) == constant[1:-1] if constant.endswith('"') and constant.startswith('"') else F.lit(False)
+
+
+@dataclass
+class RowMap:
+    """A table each of whose rows is one subject: its term, and predicate -> object; null values give no triple."""
+
+    df: DataFrame
+    subject: Mapped
+    objects: dict[str, Mapped]
+    required: dict[str, str]  # predicate -> column that mustn't be null
+
+
 class MappedTables:
-    """Quads of the default graph kept by predicate: predicate -> DataFrame (s, o). A pattern with a known predicate reads
-    that projection alone."""
+    """Quads of the default graph that stand as rows of tables. A subject is one row of one table, so patterns that share
+    their subject are one projection of it; only the columns that they name are read."""
+
+    def __init__(self, spark: SparkSession, maps: list[RowMap]):
+        self.spark, self.maps = spark, maps
 
-    def __init__(self, spark: SparkSession, tables: dict):
-        self.spark, self.tables = spark, tables
+    def predicates(self) -> list[str]:
+        return list(dict.fromkeys(p for m in self.maps for p in m.objects))
 
     def scan(self, predicate: str | None = None) -> DataFrame:
-        names = list(self.tables) if predicate is None else [predicate] * (predicate in self.tables)
-        if not names:
-            return self.spark.createDataFrame([], "s string, p string, o string, g string")
         parts = []
-        for n in names:
-            made = self.tables[n]
-            for df in made if isinstance(made, list) else [made]:
-                parts.append((df() if callable(df) else df).select("s", F.lit(n).alias("p"), "o", F.lit(None).cast("string").alias("g")))
-        return reduce(DataFrame.union, parts)
+        for m in self.maps:
+            if predicate is None:  # one scan for all predicates
+                pairs = F.array(*[F.struct(F.lit(p).alias("p"), o.term.alias("o")) for p, o in m.objects.items()])
+                parts.append(m.df.select(m.subject.term.alias("s"), F.explode(pairs).alias("_po")).select("s", "_po.p", "_po.o").where("o IS NOT NULL"))
+            elif predicate in m.objects:
+                parts.append(self.rows(m, [predicate]).select(m.subject.term.alias("s"), F.lit(predicate).alias("p"), m.objects[predicate].term.alias("o")))
+        if not parts:
+            return self.spark.createDataFrame([], "s string, p string, o string, g string")
+        return reduce(DataFrame.union, parts).withColumn("g", F.lit(None).cast("string"))
+
+    @staticmethod
+    def rows(m: RowMap, predicates: list[str]) -> DataFrame:
+        df = m.df
+        for c in dict.fromkeys(m.required[p] for p in predicates if p in m.required):
+            df = df.where(F.col(c).isNotNull())
+        return df
+
+    def star(self, subject, pairs: list[tuple]) -> tuple[DataFrame, list[str]] | None:
+        """(rows with columns s, o0, o1, ..., what is known of each column) of patterns that share their subject; a pair is
+        (predicate, object). None where no table has all the predicates."""
+        parts, kinds = [], None
+        for m in self.maps:
+            if not all(p in m.objects for p, _ in pairs):
+                continue
+            df = self.rows(m, [p for p, _ in pairs])
+            tests = [(m.subject, subject), *((m.objects[p], o) for p, o in pairs)]
+            for at, t in tests:
+                test = at.same(t) if isinstance(t, str) else None
+                if test is not None:
+                    df = df.where(test)
+            own = [at.kind for at, _ in tests]
+            kinds = own if kinds is None else [a if a == b else "" for a, b in zip(kinds, own)]
+            parts.append(df.select(*[at.term.alias("s" if i == 0 else f"o{i - 1}") for i, (at, _) in enumerate(tests)]))
+        return (reduce(DataFrame.union, parts), kinds) if parts else None
 
 
 @dataclass
 class Solution:
+    """kinds: what is known of all values of a variable, by name."""
+
     df: DataFrame
     names: list
     maybe: set
+    kinds: dict = field(default_factory=dict)
 
 
 def col_name(name: str) -> str:
@@ -100,6 +163,25 @@ class QueryCompiler:
         df = self.quads(p if isinstance(p, str) else None)
         return self.bind(df, [("s", s), ("p", None if isinstance(p, str) else p), ("o", o)])
 
+    def star(self, subject, triples: list) -> Solution | None:
+        """Patterns with one subject over mapped tables, as one projection; None where that isn't what the source is."""
+        if not isinstance(self.source, MappedTables) or self.graph is not None or self.default is not None or self.named is not None:
+            return None
+        if isinstance(subject, Quoted) or not all(isinstance(p, str) and not isinstance(o, Quoted) for _, p, o in triples):
+            return None
+        found = self.source.star(subject, [(p, o) for _, p, o in triples])
+        if found is None:
+            return Solution(self.bind(self.source.scan("<>"), [("s", subject), *(("o", o) for _, _, o in triples)]).df, *self.names_of(subject, triples)) if isinstance(subject, Var) else None
+        df, kinds = found
+        positions = [("s", subject), *((f"o{i}", o) for i, (_, _, o) in enumerate(triples))]
+        out = self.bind(df, positions)
+        out.kinds = {t.name: k for (_, t), k in zip(reversed(positions), reversed(kinds)) if isinstance(t, Var) and k}
+        return out
+
+    @staticmethod
+    def names_of(subject, triples: list) -> tuple[list, set]:
+        return list(dict.fromkeys(t.name for t in (subject, *(o for _, _, o in triples)) if isinstance(t, Var))), set()
+
     def bind(self, df: DataFrame, positions: list) -> Solution:
         """Match columns with constants, variables and quoted patterns."""
         todo = [(F.col(c), t) for c, t in positions if t is not None]
@@ -204,23 +286,30 @@ class QueryCompiler:
             if isinstance(self.graph, Var):
                 return self.bind(self.quads(None).select("g").distinct(), [])
             return self.unit()
-        left, bound, out = list(node.triples), set(), None
-
-        def names(t):
-            return set(variables(BGP([t]))) | {x.name for x in t if isinstance(x, Var)}
+        groups: dict = {}  # patterns that share their subject go together where the source can take them so
+        for t in node.triples:
+            groups.setdefault(t[0] if isinstance(t[0], (Var, str)) and isinstance(t[1], str) and not isinstance(t[2], Quoted) else ("alone", len(groups)), []).append(t)
+        left: list = []
+        for subject, own in groups.items():
+            made = self.star(subject, own) if not isinstance(subject, tuple) else None
+            left.extend([(own, made)] if made is not None else [([t], None) for t in own])
+        bound, out = set(), None
+
+        def names(triples):
+            return set(variables(BGP(triples))) | {x.name for t in triples for x in t if isinstance(x, Var)}
 
         while left:  # most constants first, then what shares variables with what is there
-            def cost(t):
-                own = names(t)
-                fixed = sum(isinstance(x, str) for x in t)
-                weight = -2 * isinstance(t[0], str) - 2 * isinstance(t[2], str) - fixed
-                return (bool(bound) and not own & bound, weight, isinstance(t[1], Path))
+            def cost(item):
+                triples = item[0]
+                own = names(triples)
+                weight = sum(-2 * isinstance(t[0], str) - 2 * isinstance(t[2], str) - sum(isinstance(x, str) for x in t) for t in triples)
+                return (bool(bound) and not own & bound, weight, isinstance(triples[0][1], Path))
 
             best = min(left, key=cost)
             left.remove(best)
-            part = self.pattern(*best)
+            part = best[1] if best[1] is not None else self.pattern(*best[0][0])
             out = part if out is None else self.join(out, part)
-            bound |= names(best)
+            bound |= names(best[0])
         return out
 
     def join(self, a: Solution, b: Solution, how: str = "inner", on=None) -> Solution:
@@ -231,12 +320,16 @@ class QueryCompiler:
             maybe = {x for x in maybe if not ((x in a.names and x not in a.maybe) or (x in b.names and x not in b.maybe))}
         else:
             maybe = {x for x in names if (x in a.maybe or x not in a.names)}
+        kinds = {**b.kinds, **a.kinds}
+        for x in shared:  # equal values are of the kind of either side; where one may be unbound, only if both agree
+            if (x in a.maybe or x in b.maybe) and a.kinds.get(x) != b.kinds.get(x):
+                kinds.pop(x, None)
         if not a.names and how == "inner" and "_unit" in a.df.columns and a.df.columns == ["_unit"] and not b.names:
             return Solution(a.df.crossJoin(b.df.select(F.lit(1).alias("_u2"))).select("_unit"), [], set())
         if on is None and shared and not any(x in a.maybe or x in b.maybe for x in shared):
             keys = [col_name(x) for x in shared]
             df = a.df.drop("_unit").join(b.df.drop("_unit"), keys, how)
-            return Solution(df.select(*[_c(x) for x in names]), names, maybe)
+            return Solution(df.select(*[_c(x) for x in names]), names, maybe, kinds)
         right = b.df.select(*[_c(x).alias("r_" + col_name(x)) for x in b.names], F.lit(1).alias("_r"))
         cond = F.lit(True)
         for x in shared:
@@ -247,7 +340,7 @@ class QueryCompiler:
                     return F.coalesce(_c(name), F.col("r_" + col_name(name))) if name in a.maybe else _c(name)
                 return _c(name) if name in a.names else F.col("r_" + col_name(name)) if name in b.names else None
 
-            cond = cond & to_bool(Compiler(column, error=SparqlError)(on))
+            cond = cond & to_bool(Compiler(column, error=SparqlError, kinds=kinds)(on))
         plain = not shared and on is None
         df = a.df.crossJoin(right) if plain and how == "inner" else a.df.join(right, cond, how)
         columns = []
@@ -256,7 +349,7 @@ class QueryCompiler:
                 columns.append((F.coalesce(_c(x), F.col("r_" + col_name(x))) if x in a.maybe else _c(x)).alias(col_name(x)))
             else:
                 columns.append(_c(x) if x in a.names else F.col("r_" + col_name(x)).alias(col_name(x)))
-        return Solution(df.select(*columns, *([] if columns else [F.lit(1).alias("_unit")])), names, maybe)
+        return Solution(df.select(*columns, *([] if columns else [F.lit(1).alias("_unit")])), names, maybe, kinds)
 
     def on_join(self, node: Join) -> Solution:
         return self.join(self.compile(node.left), self.compile(node.right))
@@ -270,7 +363,8 @@ class QueryCompiler:
         names = list(dict.fromkeys(x for p in parts for x in p.names))
         dfs = [p.df.select(*[_c(x) if x in p.names else F.lit(None).cast("string").alias(col_name(x)) for x in names], *([] if names else [F.lit(1).alias("_unit")])) for p in parts]
         maybe = {x for x in names if any(x not in p.names or x in p.maybe for p in parts)}
-        return Solution(reduce(DataFrame.union, dfs), names, maybe)
+        kinds = {x: k[0] for x in names if len(k := list({p.kinds.get(x) for p in parts if x in p.names})) == 1 and k[0]}
+        return Solution(reduce(DataFrame.union, dfs), names, maybe, kinds)
 
     def on_minus(self, node: Minus) -> Solution:
         a, b = self.compile(node.left), self.compile(node.right)
@@ -278,14 +372,14 @@ class QueryCompiler:
         if not shared:
             return a
         if not any(x in a.maybe or x in b.maybe for x in shared):
-            return Solution(a.df.join(b.df, [col_name(x) for x in shared], "left_anti"), a.names, a.maybe)
+            return Solution(a.df.join(b.df, [col_name(x) for x in shared], "left_anti"), a.names, a.maybe, a.kinds)
         right = b.df.select(*[_c(x).alias("r_" + col_name(x)) for x in shared]).distinct()
         cond, both = F.lit(True), F.lit(False)
         for x in shared:
             r = F.col("r_" + col_name(x))
             cond = cond & compatible(_c(x), r, x not in a.maybe and x not in b.maybe)
             both = both | (_c(x).isNotNull() & r.isNotNull())
-        return Solution(a.df.join(right, cond & both, "left_anti"), a.names, a.maybe)
+        return Solution(a.df.join(right, cond & both, "left_anti"), a.names, a.maybe, a.kinds)
 
     def on_filter(self, node: Filter) -> Solution:
         sol = self.compile(node.inner)
@@ -296,7 +390,7 @@ class QueryCompiler:
                 sol = self.semi(sol, x.inner, x.negated != negated)
             else:
                 sol, value = self.evaluate(sol, e)
-                sol = Solution(sol.df.where(to_bool(value)).drop(*[c for c in sol.df.columns if c.startswith("_e")]), sol.names, sol.maybe)
+                sol = Solution(sol.df.where(to_bool(value)).drop(*[c for c in sol.df.columns if c.startswith("_e")]), sol.names, sol.maybe, sol.kinds)
         return sol
 
     def conjuncts(self, e) -> list:
@@ -317,15 +411,16 @@ class QueryCompiler:
         shared = [x for x in a.names if x in b.names]
         how = "left_anti" if negated else "left_semi"
         if not outer and shared and not any(x in a.maybe or x in b.maybe for x in shared):
-            return Solution(a.df.join(b.df, [col_name(x) for x in shared], how), a.names, a.maybe)
+            return Solution(a.df.join(b.df, [col_name(x) for x in shared], how), a.names, a.maybe, a.kinds)
         right = b.df.select(*[_c(x).alias("r_" + col_name(x)) for x in b.names], F.lit(1).alias("_r"))
         cond = F.lit(True)
         for x in shared:
             cond = cond & compatible(_c(x), F.col("r_" + col_name(x)), x not in a.maybe and x not in b.maybe)
         column = lambda n: F.col("r_" + col_name(n)) if n in b.names else _c(n) if n in a.names else None
+        kinds = {**a.kinds, **b.kinds}
         for e in outer:
-            cond = cond & to_bool(Compiler(column, error=SparqlError)(e))
-        return Solution(a.df.join(right, cond, how), a.names, a.maybe)
+            cond = cond & to_bool(Compiler(column, error=SparqlError, kinds=kinds)(e))
+        return Solution(a.df.join(right, cond, how), a.names, a.maybe, a.kinds)
 
     def free(self, e) -> set:
         if isinstance(e, Var):
@@ -352,12 +447,12 @@ class QueryCompiler:
                 df = s.df.join(hit, [col_name(n) for n in shared], "left")
             else:
                 df = s.df.crossJoin(b.df.limit(1).agg((F.count("*") > 0).alias(flag)))
-            state["sol"] = Solution(df, s.names, s.maybe)
+            state["sol"] = Solution(df, s.names, s.maybe, s.kinds)
             out = F.coalesce(F.col(flag), F.lit(False))
             return ~out if x.negated else out
 
         column = lambda n: _c(n) if n in sol.names else None
-        value = Compiler(column, aggregate, exists, SparqlError)(e)
+        value = Compiler(column, aggregate, exists, SparqlError, kinds=sol.kinds)(e)
         return state["sol"], value
 
     def on_extend(self, node: Extend) -> Solution:
@@ -366,7 +461,7 @@ class QueryCompiler:
             raise SparqlError(f"SPARQL parse error: ?{node.var} is bound already")
         sol, value = self.evaluate(sol, node.expr)
         df = sol.df.withColumn(col_name(node.var), to_term(value).cast("string"))
-        return Solution(df.drop(*[c for c in df.columns if c.startswith("_e")]), sol.names + [node.var], sol.maybe | {node.var})
+        return Solution(df.drop(*[c for c in df.columns if c.startswith("_e")]), sol.names + [node.var], sol.maybe | {node.var}, sol.kinds)
 
     def on_values(self, node: Values) -> Solution:
         schema = ", ".join(f"`{col_name(n)}` string" for n in node.names) or "_unit int"
@@ -402,7 +497,7 @@ class QueryCompiler:
         for name, e in items:
             if e is not None:
                 sol, value = self.evaluate(sol, e)
-                sol = Solution(sol.df.withColumn(col_name(name), to_term(value).cast("string")), sol.names + [name], sol.maybe | {name})
+                sol = Solution(sol.df.withColumn(col_name(name), to_term(value).cast("string")), sol.names + [name], sol.maybe | {name}, sol.kinds)
         names = [n for n, _ in items]
         df = sol.df
         missing = [n for n in names if n not in sol.names]
@@ -410,9 +505,9 @@ class QueryCompiler:
             df = df.withColumn(col_name(n), F.lit(None).cast("string"))
         keys = []
         for e, up in order:
-            sol2, value = self.evaluate(Solution(df, sol.names, sol.maybe), e)
+            sol2, value = self.evaluate(Solution(df, sol.names, sol.maybe, sol.kinds), e)
             df = sol2.df
-            for k in order_keys(to_term(value)):
+            for k in order_keys(value):
                 keys.append(k.asc_nulls_first() if up else k.desc_nulls_last())
         out = [_c(n) for n in names] or [F.lit(1).alias("_unit")]
         if q.distinct:
@@ -437,7 +532,7 @@ class QueryCompiler:
             else:
                 name = name or f".k{i}"
                 sol, value = self.evaluate(sol, e)
-                sol = Solution(sol.df.withColumn(col_name(name), to_term(value).cast("string")), sol.names + [name], sol.maybe | {name})
+                sol = Solution(sol.df.withColumn(col_name(name), to_term(value).cast("string")), sol.names + [name], sol.maybe | {name}, sol.kinds)
                 keys.append((name, e))
         aggs: dict = {}
 
@@ -463,10 +558,10 @@ class QueryCompiler:
         names = [n for n, _ in keys]
         by = [_c(n) if n in sol.names else F.lit(None).cast("string").alias(col_name(n)) for n in names]
         df = sol.df.groupBy(*by).agg(*columns) if columns else sol.df.select(*by).distinct()
-        out = Solution(df, names + list(aggs.values()), set(sol.maybe) | set(aggs.values()))
+        out = Solution(df, names + list(aggs.values()), set(sol.maybe) | set(aggs.values()), {n: k for n, k in sol.kinds.items() if n in names})
         for e in having:
             out, value = self.evaluate(out, self.inline(e, alias))
-            out = Solution(out.df.where(to_bool(value)), out.names, out.maybe)
+            out = Solution(out.df.where(to_bool(value)), out.names, out.maybe, out.kinds)
         items2 = [(n, e) for n, e in new_items]
         return out, items2, order
 
@@ -480,15 +575,22 @@ class QueryCompiler:
             if e.distinct:
                 return integer(F.count_distinct(F.struct(*[F.coalesce(_c(n), F.lit("")) for n in sol.names if not n.startswith(".")])))
             return integer(F.count(F.lit(1)))
-        value = Compiler(lambda n: _c(n) if n in sol.names else None, error=SparqlError)(e.arg)
+        value = Compiler(lambda n: _c(n) if n in sol.names else None, error=SparqlError, kinds=sol.kinds)(e.arg)
         t = to_term(value)
         if e.name == "COUNT":
             return integer(F.count_distinct(t) if e.distinct else F.count(t))
         if e.name == "SAMPLE":
             return term(F.min(t))
         if e.name in ("MIN", "MAX"):
-            k = F.struct(*order_keys(t))
-            k = F.when(t.isNotNull(), k)
+            least = F.min if e.name == "MIN" else F.max
+            if value.hint in CANONICAL:  # one way to write each value: the least number, written again
+                return term(written(least(to_num(value).dec), value.hint), hint=value.hint)
+            if value.hint == "dateTime":  # all of one length
+                return term(least(t), hint=value.hint)
+            if value.hint in ("string", "iri"):
+                text = least(bare(t, value.hint))
+                return term(F.concat(F.lit("<"), text, F.lit(">")) if value.hint == "iri" else T.as_literal(text), hint=value.hint)
+            k = F.when(t.isNotNull(), F.struct(*order_keys(value)))
             return term((F.min_by if e.name == "MIN" else F.max_by)(t, k))
         if e.name == "GROUP_CONCAT":
             text = string_arg(value)
@@ -516,12 +618,12 @@ class QueryCompiler:
         df = sol.df
         keys = []
         for e, up in q.order:
-            s2, value = self.evaluate(Solution(df, sol.names, sol.maybe), e)
+            s2, value = self.evaluate(Solution(df, sol.names, sol.maybe, sol.kinds), e)
             df = s2.df
-            keys += [k.asc_nulls_first() if up else k.desc_nulls_last() for k in order_keys(to_term(value))]
+            keys += [k.asc_nulls_first() if up else k.desc_nulls_last() for k in order_keys(value)]
         df = df.orderBy(*keys) if keys else df
         df = df.offset(q.offset) if q.offset else df
-        return Solution(df.limit(q.limit) if q.limit is not None else df, sol.names, sol.maybe)
+        return Solution(df.limit(q.limit) if q.limit is not None else df, sol.names, sol.maybe, sol.kinds)
 
     def instantiate(self, sol: Solution, template: list) -> DataFrame:
         """(s, p, o, g) of a template over a solution: triples with an unbound or illegal part are left out; labels of

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import TYPE, XSD
-from ..plans.compiler import MappedTables
+from ..plans.compiler import Mapped, MappedTables, RowMap
 
 #: table: (class, key columns; None hashes the row, subject kind)
 CLASSES = {
@@ -38,39 +38,38 @@ def literal(c: Column, dtype: str) -> Column:
     return F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
 
 
-def table_quads(df: DataFrame, table: str) -> dict[str, DataFrame]:
-    """predicate -> (s, o) of one table; null values give no triple."""
+def row_map(df: DataFrame, table: str) -> RowMap:
+    """One table's rows as subjects. Its keys are primary keys; where it has none, rows that are alike are one subject."""
     cls, keys, kind = CLASSES[table]
-    if keys is None:  # rows that are alike collapse into one subject
-        df = df.distinct().withColumn("_id", F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in df.columns]), 256))
-        s = node(kind, F.col("_id"))
+    links, types = LINKS.get(table, {}), dict(df.dtypes)
+    if keys is None:
+        own = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in df.columns]
+        df = df.distinct()
+        subject = Mapped(node(kind, F.sha2(F.concat_ws("|", *own), 256)), "iri")
     else:
-        s = node(kind, F.concat_ws(":", *keys))
-    links = LINKS.get(table, {})
-    out = {TYPE: df.select(s.alias("s"), F.lit(f"<urn:c:{cls}>").alias("o"))}
-    for c, dtype in df.dtypes:
+        plain = keys[0] if len(keys) == 1 and types[keys[0]] in ("int", "bigint") else None
+        subject = Mapped(node(kind, F.concat_ws(":", *keys)), "iri", plain, f"<urn:d:{kind}:")
+    objects = {TYPE: Mapped(F.lit(f"<urn:c:{cls}>"), "iri")}
+    required = {}
+    for c, dtype in types.items():
         if c in links:
             p, to = links[c]
-            out[f"<urn:r:{p}>"] = df.where(F.col(c).isNotNull()).select(s.alias("s"), node(to, F.col(c)).alias("o"))
-        elif c not in (keys or []) and c != "_id":
-            out[f"<urn:p:{c}>"] = df.where(F.col(c).isNotNull()).select(s.alias("s"), literal(F.col(c), dtype).alias("o"))
-    return out
+            objects[f"<urn:r:{p}>"] = Mapped(node(to, F.col(c)), "iri", c if dtype in ("int", "bigint") else None, f"<urn:d:{to}:")
+            required[f"<urn:r:{p}>"] = c
+        elif c not in (keys or []):
+            known = "integer" if dtype in ("int", "bigint", "smallint") else "decimal" if dtype in ("double", "float") or dtype.startswith("decimal") else "dateTime" if dtype.startswith("timestamp") else "string"
+            objects[f"<urn:p:{c}>"] = Mapped(literal(F.col(c), dtype), known, c if dtype == "string" else None)
+            required[f"<urn:p:{c}>"] = c
+    return RowMap(df, subject, objects, required)
 
 
 def dataset(spark: SparkSession, sf_dir: str, tables: list[str]) -> MappedTables:
-    merged: dict[str, list] = {}
-    for t in tables:
-        for p, df in table_quads(spark.read.parquet(f"{sf_dir}/{t}.parquet"), t).items():
-            merged.setdefault(p, []).append(df)
-    return MappedTables(spark, merged)
+    return MappedTables(spark, [row_map(spark.read.parquet(f"{sf_dir}/{t}.parquet"), t) for t in tables])
 
 
 def quads(spark: SparkSession, sf_dir: str, tables: list[str], predicates: list[str] | None = None) -> DataFrame:
-    """(s, p, o, g) of the tables, of some predicates only if given."""
+    """(s, p, o, g) of the tables, of some predicates only if given: one scan a table."""
     source = dataset(spark, sf_dir, tables)
-    names = [p for p in source.tables if predicates is None or p in predicates]
-    out = None
-    for p in names:
-        part = source.scan(p)
-        out = part if out is None else out.union(part)
-    return out
+    if predicates is not None:
+        source.maps = [RowMap(m.df, m.subject, own, m.required) for m in source.maps if (own := {p: o for p, o in m.objects.items() if p in predicates})]
+    return source.scan()
