@@ -11,22 +11,38 @@ from quadrille.llm import common
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models accept."""
+    """Documents whose language the models accept; those without text or letters go."""
     from quadrille.llm.langid import keep_identified, train
 
     return keep_identified(docs, train(docs.select("doc_id", "text", "lang")))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
+    """One document of each group of near-duplicates, one of those that bear the smallest doc_id.
+
+    Rows are told apart by doc_id and a hash of their text, so rows that share a doc_id go or stay each by its own text;
+    of rows equal in both one stays. Rows without a doc_id stay.
+    """
+    from pyspark.sql import functions as F
+
     from quadrille.llm.minhash import near_duplicates
 
-    gone = near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    mark, key = common.unused(docs, "text_mark"), common.unused(docs, "id_key")
+    text_mark = F.xxhash64(F.coalesce("text", F.lit(""))).alias(mark)
+    found = near_duplicates(docs.select("doc_id", "text", text_mark), extra=(mark,)).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias(key), mark)
+    found = common.materialise(found.agg(F.min("first").alias("first"), F.count("*").alias("n")).where("NOT first OR n > 1"), "pipeline-found")
+    marked = docs.select("*", text_mark)
+    same = (F.col("doc_id") == F.col(key)) & (marked[mark] == found[mark])
+    out = marked.join(found, same, "left_anti").select(*docs.columns)
+    repeated = found.where("first")
+    if not repeated.isEmpty():  # rows equal in doc_id and text: any one of them
+        again = marked.join(repeated.select(key, F.col(mark).alias(mark + "_")), (F.col("doc_id") == F.col(key)) & (F.col(mark) == F.col(mark + "_")))
+        out = out.unionByName(again.dropDuplicates(["doc_id", mark]).select(*docs.columns))
+    return out
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every span of personal data replaced by the name of its kind."""
+    """Documents with every span of personal data replaced by the name of its kind; a null text stays null."""
     from pyspark.sql import functions as F
 
     from quadrille.llm.pii import redact
@@ -36,7 +52,7 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 tokens."""
+    """The pieces of all documents in sequences of at most 1024 tokens; rows that repeat a doc_id are packed each."""
     from quadrille.llm.packing import pack
 
     return pack(docs.select("doc_id", "text"))

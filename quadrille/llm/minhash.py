@@ -12,7 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -132,33 +132,36 @@ def fingerprint(shingles: np.ndarray) -> bytes:
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, print (of the set; of its own for an empty one), keys (one per band; null for an empty one)."""
+    """docs(doc_id, text, ...) with n_shingles, print (of the set; null for an empty one) and keys (one per band) for text."""
+    kept = [f for f in docs.schema if f.name != "text"]
+    names = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, circulant = tools()
-        for b in batches:
-            sets = shingler.sets(b["text"].tolist())
+        for b in common.slices(batches):
+            sets = shingler.sets(common.strings(b.column("text")))
             some = [s for s in sets if len(s)]
             keys = iter(circulant.band_keys(np.stack([circulant.signature(s) for s in some]))) if some else iter(())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "print": [fingerprint(s) if len(s) else None for s in sets], "keys": [next(keys) if len(s) else None for s in sets]})
+            found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64()))]
+            yield pa.record_batch([*(b.column(c) for c in names), *found], [*names, "n_shingles", "print", "keys"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInPandas(run, "doc_id long, n_shingles long, print binary, keys array<long>")
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_shingles long, print binary, keys array<long>")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of edges(u, v); root is the smallest node reachable.
 
     Alternating large-star and small-star steps; each round's edges are written to the shared folder, so that lineage
-    stays short and lost executors cost no more than a round. Only a count and a checksum reach the driver.
+    stays short and lost executors cost no more than a round. The least neighbours are written before they are joined:
+    a join of two plain exchanges is one that adaptive execution can split where a node has very many edges. Only a
+    count and a checksum reach the driver.
     """
-    spark = edges.sparkSession
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = common.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name + "-low")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = common.materialise(small.union(small_low.select("u", F.col("m").alias("v"))).distinct(), name)
@@ -169,111 +172,163 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _confirm(tasks: DataFrame, percent: int) -> DataFrame:
-    """Verified links among the texts of each task (g, i, j), as a spanning forest (u, v) of the task's links.
+def verified(nodes: list[bytes], sets: list[np.ndarray], left: np.ndarray, percent: int) -> Iterator[tuple[bytes, bytes]]:
+    """Links of near sets as a spanning forest: among all where all are `left`, else between left ones and the others.
 
-    In a task of one block all pairs are compared, else those across its two blocks, by counting for one set at a time
-    the members of all others: exact sizes of intersections without a pair being formed.
+    For one set at a time the members of all others are counted: exact sizes of intersections without a pair being formed.
     """
-
-    def links(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray) -> Iterator[tuple[int, int]]:
-        n = np.array([len(s) for s in sets])
-        starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-        _, cell = np.unique(np.concatenate(sets), return_inverse=True)
+    n = np.array([len(s) for s in sets])
+    starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+    every = np.concatenate(sets)
+    alone, ones = left.all(), np.flatnonzero(left)
+    if len(ones) > 1:
+        _, cell = np.unique(every, return_inverse=True)
         mark = np.zeros(len(cell), dtype=bool)
-        parent = list(range(len(ids)))
+    parent = list(range(len(nodes)))
 
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
 
-        alone = left.all()
-        for x in (range(len(ids)) if alone else np.flatnonzero(left)):
+    for x in ones:
+        if len(ones) > 1:
             own = cell[starts[x] : starts[x] + n[x]]
             mark[own] = True
-            shared = np.add.reduceat(mark[cell], starts, dtype=np.int64)
+            inside = mark[cell]
             mark[own] = False
-            near = 100 * shared >= percent * (n + n[x] - shared)
-            near[x] = False
-            if not alone:
-                near &= ~left
-            for y in np.flatnonzero(near):
-                a, b = root(x), root(int(y))
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    yield int(ids[x]), int(ids[y])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingler, _ = tools()
-        held: list[pd.DataFrame] = []
+        else:
+            inside = sets[x][np.minimum(np.searchsorted(sets[x], every), n[x] - 1)] == every
+        shared = np.add.reduceat(inside, starts, dtype=np.int64)
+        near = 100 * shared >= percent * (n + n[x] - shared)
+        near[x] = False
+        if not alone:
+            near &= ~left
+        for y in np.flatnonzero(near):
+            a, b = root(x), root(int(y))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                yield nodes[x], nodes[int(y)]
 
-        def flush() -> pd.DataFrame:
-            g = pd.concat(held).drop_duplicates("doc_id")
-            left = (g["b"] == g["i"]).to_numpy()
-            found = list(links(g["doc_id"].to_numpy(), shingler.sets(g["text"].tolist()), left)) if len(g) > 1 else []
-            return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
 
+def _confirm(tasks: DataFrame, percent: int) -> DataFrame:
+    """Verified links (u, v) among the texts of each task (g, i, j): rows (g, i, j, b, node, text), left where b = i."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, _ = tools()
+        held: dict[bytes, tuple[bool, str]] = {}
         key = None
-        for b in batches:
-            change = np.flatnonzero((b[["g", "i", "j"]] != b[["g", "i", "j"]].shift()).any(axis=1).to_numpy())
-            for at, end in zip(change, [*change[1:], len(b)]):
-                part = b.iloc[at:end]
-                k = tuple(part.iloc[0][["g", "i", "j"]])
-                if k != key and held:
+
+        def flush() -> pa.RecordBatch:
+            sets = shingler.sets([t for _, t in held.values()])
+            found = list(verified(list(held), sets, np.array([x for x, _ in held.values()]), percent)) if len(held) > 1 else []
+            return pa.record_batch([pa.array([u for u, _ in found], pa.binary()), pa.array([v for _, v in found], pa.binary())], ["u", "v"])
+
+        for b in common.slices(batches):
+            for g, i, j, own, node, text in zip(*(b.column(c).to_pylist() for c in ("g", "i", "j", "b", "node", "text"))):
+                if (g, i, j) != key and held:
                     yield flush()
-                    held = []
-                key = k
-                held.append(part)
+                    held = {}
+                key = g, i, j
+                held[node] = own == i, text
         if held:
             yield flush()
 
     n = common.parallelism(tasks.sparkSession)
-    return tasks.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInPandas(run, "u long, v long")
+    return tasks.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "u binary, v binary")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512, block_shingles: int = 4_000_000) -> DataFrame:
-    """Class of every row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
+def _crossed(members: DataFrame, texts: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
+    """Links among members(g, node, n, leader, root) that share a band g and are in different components (root).
+
+    Members are gathered into clusters over stars, not pairs. In a cluster (or, where that moves less, in each of its
+    bands) those outside of its largest component are compared with all, block by block of bounded shingles; every pair
+    of blocks is a task of its own, so that no group meets in one task, and the largest component isn't compared with
+    itself: work is linear in its size.
+    """
+    clusters = components(members.select(F.col("node").alias("u"), F.col("leader").alias("v")), "minhash-clusters")
+    whole = members.select("node", "n", "root").distinct().join(clusters.select("node", F.col("root").alias("g")), "node")
+
+    def sizes(groups: DataFrame) -> DataFrame:
+        """By group: its largest component, the members in others (k), numbers of blocks of both, rows that tasks would read."""
+        per = groups.groupBy("g", "root").agg(F.count("*").alias("c"), F.max("n").alias("most")).groupBy("g")
+        per = per.agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"), F.max("most").alias("most"))
+        size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(block_shingles) / F.col("most"))))
+        per = per.select("g", F.col("top.root").alias("main"), (F.col("m") - F.col("top.c")).alias("k"), F.col("top.c").alias("c"), size.alias("size"))
+        per = per.withColumns({"nk": F.ceil(F.col("k") / F.col("size")).cast("int"), "nc": F.ceil(F.col("c") / F.col("size")).cast("int")})
+        return per.withColumn("cost", F.col("k") * (F.col("nk") + F.col("nc")) + F.col("c") * F.col("nk"))
+
+    of_clusters = common.materialise(sizes(whole), "minhash-sizes")
+    of_bands = common.materialise(sizes(members), "minhash-band-sizes")
+    home = members.groupBy("g").agg(F.min("leader").alias("node")).join(clusters, "node").select("g", F.col("root").alias("cluster"))
+    by_band = of_bands.join(home, "g").groupBy("cluster").agg(F.sum("cost").alias("band_cost"))
+    choice = by_band.join(of_clusters.select(F.col("g").alias("cluster"), "cost"), "cluster").select("cluster", (F.col("cost") <= F.col("band_cost")).alias("whole"))
+    choice = common.materialise(choice, "minhash-choice")
+
+    def tasks(groups: DataFrame, per: DataFrame) -> DataFrame:
+        rows = groups.join(per, "g").withColumn("minor", F.col("root") != F.col("main"))
+        b = F.when(F.col("minor"), F.pmod(F.xxhash64("node"), F.col("nk"))).otherwise(F.col("nk") + F.pmod(F.xxhash64("node"), F.greatest(F.col("nc"), F.lit(1))))
+        last = F.when(F.col("minor"), F.col("nk") + F.col("nc")).otherwise(F.col("nk")) - 1
+        rows = rows.where("k > 0").select("g", "node", b.cast("int").alias("b"), F.explode(F.sequence(F.lit(0), last)).alias("t"))
+        return rows.select("g", F.least("b", "t").alias("i"), F.greatest("b", "t").alias("j"), "b", "node")
+
+    bands = members.select("g", "node", "root").join(home.join(choice.where("NOT whole"), "cluster").select("g"), "g")
+    every = tasks(whole, of_clusters.join(choice.where("whole").select(F.col("cluster").alias("g")), "g"))
+    every = every.unionByName(tasks(bands, of_bands).withColumn("g", F.col("g").cast("string").cast("binary")))
+    return _confirm(every.join(texts, "node"), percent)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512, block_shingles: int = 4_000_000, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Class of every row of docs(doc_id, text): doc_id, the columns `extra`, n_shingles, component_id, kept, first.
 
     A null text is an empty one. Empty sets are linked with nothing. A row without a doc_id isn't linked: its
-    component_id is null and it is kept. Rows that repeat a doc_id are judged each by its own text. An empty table
-    gives an empty result; ties can't arise, as ids order all choices.
+    component_id is null and it is kept. Rows that repeat a doc_id are judged each by its own text, as sets, not ids, are
+    what is linked; `kept` holds for all of a component that bear its smallest doc_id, `first` for those of them with
+    one set of shingles. An empty table gives an empty result; ties can't arise, as sets' prints order all choices.
 
-    Candidates are texts that share a band. They are gathered into clusters over stars, not pairs; a cluster (or, where
-    that moves less, each of its bands' groups) is cut into blocks of bounded shingles, and every pair of blocks is a
-    task of its own, so that no group meets in one task.
+    Candidates share a band. Each is first compared with one leader of its band, chunk by chunk, which is linear in the
+    size of a group and links all of a group of mutual near copies. Only in bands whose members are still in different
+    components are those outside of the largest one compared with all others, block by block.
     """
     spark = docs.sparkSession
     common.ship(spark)
-    sketch = common.materialise(_sketch(docs), "minhash-sketch")
-    classes = sketch.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = common.materialise(classes, "minhash-classes")
-    bands = classes.select("rep", "n", F.explode("keys").alias("g"))
-    shared = bands.groupBy("g").agg(F.count("*").alias("m"), F.min("rep").alias("leader"), F.max("n").alias("most")).where("m > 1")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *extra)
+    sketch = common.materialise(_sketch(rows), "minhash-sketch")
+    classes = sketch.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print")
+    classes = classes.agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
+    classes = common.materialise(classes.select(F.col("print").alias("node"), "at.doc_id", "at.text_hash", "copies", "n", "keys"), "minhash-classes")
+    bands = classes.select("node", "n", F.explode("keys").alias("g"))
+    shared = bands.groupBy("g").agg(F.count("*").alias("m"), F.min("node").alias("leader"), F.max("n").alias("most")).where("m > 1")
+    shared = common.materialise(shared, "minhash-shared")
     members = common.materialise(bands.join(shared, "g"), "minhash-members")
-    clusters = components(members.select(F.col("rep").alias("u"), F.col("leader").alias("v")), "minhash-clusters")
 
     def blocks(m: str, most: str):
         return F.ceil(F.col(m) / F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(block_shingles) / F.col(most)))))
 
-    whole = clusters.join(members.select(F.col("rep").alias("node"), "n").distinct(), "node")
-    sizes = whole.groupBy("root").agg(F.count("*").alias("m"), F.max("n").alias("most")).withColumn("cost", F.col("m") * blocks("m", "most"))
-    by_key = members.groupBy("g").agg(F.first("leader").alias("node"), F.first("m").alias("m"), F.first("most").alias("most")).join(clusters, "node")
-    by_key = by_key.groupBy("root").agg(F.sum(F.col("m") * blocks("m", "most")).alias("key_cost"))
-    choice = sizes.join(by_key, "root").select("root", F.col("m").alias("cm"), F.col("most").alias("cmost"), (F.col("cost") <= F.col("key_cost")).alias("whole"))
-    placed = whole.join(choice, "root")
-    as_cluster = placed.where("whole").select(F.col("root").alias("g"), F.lit(0).alias("kind"), F.col("node").alias("doc_id"), F.col("cm").alias("m"), F.col("cmost").alias("most"))
-    as_keys = members.join(placed.where("NOT whole").select(F.col("node").alias("rep")), "rep").select("g", F.lit(1).alias("kind"), F.col("rep").alias("doc_id"), "m", "most")
-    groups = as_cluster.union(as_keys).withColumn("nb", blocks("m", "most").cast("int")).withColumn("b", F.pmod(F.xxhash64("doc_id"), F.col("nb")).cast("int"))
-    tasks = groups.select(F.xxhash64("g", "kind").alias("g"), "doc_id", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("t"))
-    tasks = tasks.select("g", F.least("b", "t").alias("i"), F.greatest("b", "t").alias("j"), "b", "doc_id")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    links = common.materialise(_confirm(tasks.join(texts, "doc_id"), percent), "minhash-links")
-    roots = components(links, "minhash-roots")
-
-    linked = classes.join(roots, classes["rep"] == roots["node"], "left").where("copies > 1 OR root IS NOT NULL")
-    linked = linked.select(F.col("print").alias("p"), F.coalesce("root", "rep").alias("component"))
-    out = sketch.join(linked, sketch["print"] == linked["p"], "left")
-    out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    wanted = members.select("node").distinct().join(classes.select("node", "doc_id", "text_hash"), "node")
+    texts = rows.select("doc_id", "text_hash", "text").join(wanted, ["doc_id", "text_hash"]).groupBy("doc_id", "text_hash").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    texts = common.materialise(texts.select("node", "text"), "minhash-texts")
+
+    leaders = shared.groupBy("leader").agg(F.sum("m").alias("m"), F.max("most").alias("most")).select("leader", blocks("m", "most").cast("int").alias("nb"))
+    leaders = common.materialise(leaders, "minhash-leaders")
+    own = leaders.select(F.col("leader").alias("g"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), F.col("nb"))).alias("j"), F.lit(0).alias("b"), F.col("leader").alias("node"))
+    other = members.where("node <> leader").select("leader", "node").distinct().join(leaders, "leader")
+    other = other.select(F.col("leader").alias("g"), F.lit(0).alias("i"), (F.pmod(F.xxhash64("node"), F.col("nb")) + 1).cast("int").alias("j"), "node").withColumn("b", F.col("j"))
+    links = common.materialise(_confirm(own.unionByName(other).join(texts, "node"), percent), "minhash-links")
+    roots = components(links, "minhash-stars")
+
+    joined = common.materialise(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-joined")
+    open_ = common.materialise(joined.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g"), "minhash-open")
+    if not open_.isEmpty():
+        rest = common.materialise(joined.select("g", "node", "n", "leader", "root").join(open_, "g"), "minhash-rest")
+        more = common.materialise(_crossed(rest, texts, percent, block, block_shingles), "minhash-more")
+        if not more.isEmpty():
+            roots = components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "minhash-roots")
+
+    linked = classes.select("node", "doc_id", "copies").join(roots, "node", "left").where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
+    heads = common.materialise(linked.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("head")), "minhash-heads")
+    linked = linked.join(heads, "root").select(F.col("node").alias("print"), F.col("head.doc_id").alias("component"), (F.col("head.node") == F.col("node")).alias("leads"))
+    out = sketch.join(linked, "print", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", *extra, "n_shingles", "component_id", kept.alias("kept"), (kept & F.coalesce("leads", F.lit(True))).alias("first"))
