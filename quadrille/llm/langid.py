@@ -14,7 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -215,42 +216,58 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, per_language: int = 300, most_chars: int = 20_000) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 300, chars: int = 6_000_000) -> LanguageModel:
     """Fit on a bounded sample of docs(doc_id, text, lang) that aren't held out.
 
-    The sample takes at most `per_language` whole texts of at most `most_chars` characters of each language, those
-    of the lowest hash of doc_id; only it is collected. Rows without text, lang or doc_id teach nothing.
+    The sample takes whole texts of each language in the order of a hash of doc_id: `per_language` at most, and after
+    the first five no more than fit into `chars` characters together, so that a language of long texts alone is learned
+    from fewer of them. Lengths are known before any text is read; only the sample is collected. Rows without text, lang
+    or doc_id teach nothing.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).where(F.length("text") <= most_chars)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    known = known.select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h"), F.length("text").cast("long").alias("n"))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return fit({})
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 1.5 * per_language / n + 20 / n)))])
-    sample: dict[str, list[tuple]] = {lang: [] for lang in counts}
-    for r in known.where(u < share[F.col("lang")]).select("lang", "doc_id", "text", F.xxhash64("doc_id").alias("h")).toLocalIterator():
-        sample[r["lang"]].append((r["h"], r["doc_id"], r["text"]))
-    return fit({lang: [t for _, _, t in sorted(rows)[:per_language]] for lang, rows in sample.items() if rows})
+    order = Window.partitionBy("lang").orderBy("h", "doc_id", "n")
+    rows = known.where(u < share[F.col("lang")])
+    drawn = rows.select("lang", "h", "doc_id", "n", F.row_number().over(order).alias("k"), F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
+    drawn = drawn.where((F.col("k") <= per_language) & ((F.col("k") <= 5) | (F.col("sum") <= chars)))
+    wanted = {(r["lang"], r["h"], r["doc_id"], r["n"]) for r in drawn.collect()}
+    if not wanted:
+        return fit({})
+    ids = F.array(*[F.lit(h) for h in sorted({h for _, h, _, _ in wanted})])
+    sample: dict[str, list[tuple]] = {}
+    for r in rows.where(F.array_contains(ids, F.col("h"))).toLocalIterator():
+        if (r["lang"], r["h"], r["doc_id"], r["n"]) in wanted:
+            sample.setdefault(r["lang"], []).append((r["h"], r["doc_id"], r["text"]))
+    return fit({lang: [t for _, _, t in sorted(found)[:per_language]] for lang, found in sample.items()})
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs(doc_id, text) with lang_pred, score, cross_entropy and rejected.
+    """docs(doc_id, held_out, text) with lang_pred, score, cross_entropy and rejected for text.
 
     A null text, one without letters, and every text under a model that has learned nothing are `und`, score 0,
     rejected. Between languages of equal cross-entropy the first by name wins. Repeated rows are judged alike.
     """
     common.ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = [t if isinstance(t, str) else "" for t in b["text"]]
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "cross_entropy": pa.float64(), "rejected": pa.bool_()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            texts = common.strings(b.column("text"))
             if model.languages:
                 found = model.predict(texts)
+                columns = [pa.array(found[c].tolist(), t) for c, t in kinds.items()]
             else:
-                found = pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "cross_entropy": 0.0, "rejected": True})
-            yield pd.concat([b.drop(columns=["text"]).reset_index(drop=True), found], axis=1)
+                columns = [pa.array([x] * len(texts), t) for x, t in zip(("und", 0.0, 0.0, True), kinds.values())]
+            yield pa.record_batch([b.column("doc_id"), b.column("held_out"), *columns], ["doc_id", "held_out", *kinds])
 
-    return docs.select("doc_id", "held_out", "text").mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    schema = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean"
+    return common.materialise(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema), "languages")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -265,13 +282,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         return docs
     common.ship(docs.sparkSession)
 
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            if b.num_rows:
-                rejected = model.predict([t or "" for t in b.column("text").to_pylist()])["rejected"].to_numpy(dtype=bool)
-                b = b.filter(pa.array(~rejected))
-            yield b
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in common.slices(batches):
+            yield b.filter(pa.array(~model.predict(common.strings(b.column("text")))["rejected"].to_numpy(dtype=bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.materialise(docs.mapInArrow(run, docs.schema), "identified")
