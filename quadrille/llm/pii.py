@@ -128,13 +128,14 @@ def _listed(c: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """docs(text, ...) with columns base and spans: arrays of (start, end, rank, kind, score), by start, then kind.
+    """docs(text, ...) as (row, text, base, spans): the row itself, its text, and arrays of (start, end, rank, kind, score), by
+    start, then kind.
 
-    A null text is an empty one and has no spans. Base kinds stand whenever they are confirmed; the further kinds need
-    a score of KEEP, which weak ones reach by a context word only, and give way where they overlap a base span.
-    Repeated rows are judged alike; all columns of the input are kept.
+    The row travels as one struct, so that its columns may have any names. A null text is an empty one and has no spans.
+    Base kinds stand whenever they are confirmed; the further kinds need a score of KEEP, which weak ones reach by a
+    context word only, and give way where they overlap a base span. Repeated rows are judged alike.
     """
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     kinds = [*BASE, *EXTRA]
     # A column that the next projection reads more than once stays a step of its own, so regexes run once a text.
     for part, of in (("m", lambda k: F.regexp_extract_all("text", F.lit((BASE | EXTRA)[k][0]), F.lit(0))), ("g", lambda k: F.split("text", (BASE | EXTRA)[k][0], -1))):
@@ -157,14 +158,13 @@ def digest(docs: DataFrame) -> DataFrame:
     """Per row of docs(doc_id, text): counts of the base kinds, the digest of their places, all spans as text."""
     found = find_personal_data(docs.select("doc_id", "text"))
     counts = [_count(k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(_listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[%s]") -> DataFrame:
-    """docs with every span of the text replaced by its kind; overlapping spans are replaced once, under the first."""
-    columns = docs.columns
-    missing = F.col("text").isNull()
-    found = find_personal_data(docs.withColumn("_null", missing))
+    """docs, whatever their columns, with every span of the text replaced by its kind; overlapping spans are replaced once,
+    under the first. A null text stays null."""
+    found = find_personal_data(docs)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -174,4 +174,5 @@ def redact(docs: DataFrame, mark: str = "[%s]") -> DataFrame:
 
     done = F.aggregate(F.col("spans"), start, step)
     text = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(done["out"], F.substring("text", done["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(text)).select(*columns)
+    text = F.when(F.col("row")["text"].isNotNull(), text)
+    return found.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])
