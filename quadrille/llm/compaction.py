@@ -1,18 +1,21 @@
 """Size-tiered compaction of immutable shards under a versioned manifest.
 
 Arrivals are appended as the small Parquet files that their tasks write. Runs of similar size (of one tier) are merged
-into files near the target size. A version of the store is a manifest, a JSON file that lists its shards; it is written
-under a temporary name and renamed to a name that must not exist, so a version appears whole or not at all, and
-a writer that lost the race fails instead of overwriting. Readers see one version; replaced files go after its commit.
+into files near the target size. A version of the store is a manifest, a JSON file that lists its shards. Where rename
+refuses a name that exists, the manifest is written under a temporary name and renamed; on object stores it is put under
+its name on the condition that there is none. Either way a version appears whole or not at all, and a writer that lost the
+race fails instead of overwriting. Readers see one version; replaced files stay for a while, then expire() removes them.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +55,42 @@ class ShardStore:
         """Make `shards` version base + 1; fails if that version is there already."""
         version = base + 1
         name = self.to_path(f"{self.path}/manifest-{version:012d}.json")
-        draft = self.to_path(f"{self.path}/.draft-{uuid.uuid4().hex}")
-        out = self.fs.create(draft, False)
-        out.write(bytearray(json.dumps({"version": version, "schema": schema, "shards": shards}).encode()))
-        out.close()
-        if self.fs.exists(name) or not self.fs.rename(draft, name):
-            self.fs.delete(draft, False)
+        body = bytearray(json.dumps({"version": version, "schema": schema, "shards": shards}).encode())
+        try:
+            if name.toUri().getScheme() in ("file", "hdfs", "viewfs", None):  # rename never replaces a file there
+                draft = self.to_path(f"{self.path}/.draft-{uuid.uuid4().hex}")
+                self._put(draft, body)
+                won = not self.fs.exists(name) and self.fs.rename(draft, name)
+                self.fs.delete(draft, False)
+            else:  # an object store shows an object whole or not at all; overwrite=False makes the put conditional
+                self._put(name, body)
+                won = True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            won = False
+        if not won:
             raise RuntimeError(f"version {version} was committed by another writer")
         return version
 
+    def _put(self, at, body: bytearray) -> None:
+        out = self.fs.create(at, False)
+        out.write(body)
+        out.close()
+
+    def expire(self, keep_seconds: float = 7 * 86400.0) -> int:
+        """Delete files that the last version doesn't list and that are older than `keep_seconds`: those that a merge
+        replaced, for readers of older versions, and those of writers that failed. Returns how many."""
+        kept = {s["path"] for s in self.manifest()["shards"]}
+        limit, gone = (time.time() - keep_seconds) * 1000, 0
+        for folder in self.fs.listStatus(self.to_path(self.path)):
+            if folder.isDirectory() and folder.getPath().getName().startswith("run-"):
+                for f in self.fs.listStatus(folder.getPath()):
+                    if f.getPath().getName().startswith("part-") and f.getPath().toString() not in kept and f.getModificationTime() <= limit:
+                        self.fs.delete(f.getPath(), False)
+                        gone += 1
+        return gone
+
     # shards
 
     def _written(self, folder: str) -> list[dict]:
@@ -104,7 +134,8 @@ class ShardStore:
     def compact(self, per_job: int = 256) -> int:
         """Merge until no tier is due; returns the last version.
 
-        A group is read as one partition and written as one file, without a shuffle; a job writes many groups.
+        A group is read as one partition and written as one file, without a shuffle; a job writes many groups. Replaced
+        files stay until expire(), so that readers of older versions aren't disturbed.
         """
         while True:
             now = self.manifest()
@@ -117,8 +148,6 @@ class ShardStore:
             reduce(DataFrame.union, parts).write.parquet(folder)
             gone = {s["path"] for g in groups for s in g}
             self.commit(now["version"], now["schema"], [s for s in now["shards"] if s["path"] not in gone] + self._written(folder))
-            for path in gone:
-                self.fs.delete(self.to_path(path), False)
 
     @staticmethod
     def _schema(schema: str):
@@ -129,20 +158,26 @@ class ShardStore:
     def _reader(self, schema: str):
         return self.spark.read.schema(self._schema(schema))
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows of a version, with their shard's name in column _shard."""
+    def read(self, version: int | None = None, name: str | None = None) -> DataFrame:
+        """All rows of a version; with their shard's file in a column `name`, which the rows mustn't have, where one is given."""
         now = self.manifest(version)
         if not now["schema"]:
             raise ValueError("the store has no version")
         if not now["shards"]:
-            return self.spark.createDataFrame([], self._schema(now["schema"])).withColumn("_shard", F.lit(""))
-        return self._reader(now["schema"]).parquet(*[s["path"] for s in now["shards"]]).withColumn("_shard", F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1))
+            rows = self.spark.createDataFrame([], self._schema(now["schema"]))
+        else:
+            rows = self._reader(now["schema"]).parquet(*[s["path"] for s in now["shards"]])
+        if name is None:
+            return rows
+        if name.lower() in {c.lower() for c in rows.columns}:
+            raise ValueError(f"the rows have a column {name} of their own")
+        return rows.select("*", F.regexp_extract(F.input_file_name(), "([^/]+/[^/]+)$", 1).alias(name))
 
 
-def shard(rows: DataFrame, path: str | None = None, **settings) -> tuple[ShardStore, DataFrame]:
+def shard(rows: DataFrame, path: str | None = None, name: str | None = None, **settings) -> tuple[ShardStore, DataFrame]:
     """Append rows to a (new) store, compact it and read it back. An empty table gives an empty read of its schema."""
     spark = rows.sparkSession
     store = ShardStore(spark, path or common.fresh_dir(spark, "shards"), **settings)
     store.append(rows)
     store.compact()
-    return store, store.read()
+    return store, store.read(name=name)
