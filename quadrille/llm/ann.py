@@ -103,22 +103,35 @@ def nearest(rows: DataFrame, k: int = 10, shortlist: int = 400, sample: int = 16
 
     Returns query_id, rank, vec_id, score (the exact Euclidean distance), nearest first, ties to the smaller vec_id.
     Codebooks are fitted on at most about `sample` vectors, those of the lowest hash of vec_id; every row is coded.
-    Vectors that aren't usable, or whose length isn't the most common one, take no part. Rows that repeat a vec_id are
-    candidates each, but never for a query of that vec_id.
+    Vectors that aren't usable take no part; those of each length are searched among themselves. Rows that repeat a
+    vec_id are candidates each, by their own vectors, but never for a query of that vec_id; of query rows that repeat
+    one, that of the least vector asks.
     """
     spark = rows.sparkSession
     common.ship(spark)
-    schema = "query_id long, rank int, vec_id long, score double"
     valid = usable(rows)
-    lengths = valid.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").take(1)
+    lengths = [r["d"] for r in valid.select(F.size("embedding").alias("d")).distinct().orderBy("d").collect()]
+    found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not lengths:
-        return spark.createDataFrame([], schema)
-    d = lengths[0]["d"]
-    total = lengths[0]["count"]
-    valid = valid.where(F.size("embedding") == d)
+        return found
+    valid = valid.withColumn("row", F.monotonically_increasing_id())
+    if len(lengths) > 1:
+        valid = common.materialise(valid, "aq-vectors")
+        for d in lengths:
+            found = found.unionByName(_nearest_of(valid.where(F.size("embedding") == d), k, shortlist, sample, query_block))
+        return found
+    return _nearest_of(common.materialise(valid, "aq-vectors"), k, shortlist, sample, query_block)
+
+
+def _nearest_of(valid: DataFrame, k: int, shortlist: int, sample: int, query_block: int) -> DataFrame:
+    """nearest() of valid(vec_id, embedding, row), of one length, each under its own row number."""
+    spark = valid.sparkSession
+    total = valid.count()
     hashed = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 30))
-    taken = valid.where(hashed < F.lit(int((1 << 30) * min(1.0, sample / total)))).select("vec_id", "embedding").collect() if total > sample else valid.collect()
-    taken = np.array([r["embedding"] for r in sorted(taken, key=lambda r: r["vec_id"])], dtype=np.float64)
+    taken = valid.where(hashed < F.lit(int((1 << 30) * min(1.0, sample / total)))).select("row", "embedding").collect() if total > sample else valid.collect()
+    taken = np.array([r["embedding"] for r in sorted(taken, key=lambda r: r["row"])], dtype=np.float64)
+    if not len(taken):
+        taken = np.array([r["embedding"] for r in valid.limit(1).collect()], dtype=np.float64)
     quantiser = AdditiveQuantiser.fit(taken)
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,10 +139,11 @@ def nearest(rows: DataFrame, k: int = 10, shortlist: int = 400, sample: int = 16
             for at in range(0, len(b), 2048):
                 part = b.iloc[at : at + 2048]
                 near, codes, size, norm, cross = quantiser.encode(np.stack(part["embedding"].to_list()))
-                yield pd.DataFrame({"vec_id": part["vec_id"].to_numpy(), "near": near, "codes": [c.tobytes() for c in codes], "size": size, "norm": norm, "cross": cross})
+                yield pd.DataFrame({"row": part["row"].to_numpy(), "vec_id": part["vec_id"].to_numpy(), "near": near, "codes": [c.tobytes() for c in codes], "size": size, "norm": norm, "cross": cross})
 
-    index = common.materialise(valid.mapInPandas(code, "vec_id long, near int, codes binary, size double, norm double, cross double"), "aq-index")
-    queries = valid.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = common.materialise(valid.mapInPandas(code, "row long, vec_id long, near int, codes binary, size double, norm double, cross double"), "aq-index")
+    queries = valid.where("vec_id % 100 = 0").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("query"))
+    queries = common.materialise(queries, "aq-queries")
     blocks = max(1, -(-queries.count() // query_block))
     path = common.fresh_dir(spark, "aq-shortlists")
     found_schema = "query_id long, part int, ids array<long>, scores array<double>"
@@ -153,12 +167,12 @@ def nearest(rows: DataFrame, k: int = 10, shortlist: int = 400, sample: int = 16
 
             held: list = [None] * len(names)
             for b in batches:
-                ids = b["vec_id"].to_numpy()
+                ids, rows = b["vec_id"].to_numpy(), b["row"].to_numpy()
                 codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)
                 columns = [b[c].to_numpy() for c in ("near", "size", "norm", "cross")]
                 for i, s in enumerate(quantiser.scores(vectors, columns[0], codes, *columns[1:])):
                     other = ids != names[i]
-                    a, c = ids[other], s[other]
+                    a, c = rows[other], s[other]
                     if held[i] is not None:
                         a, c = np.concatenate((held[i][0], a)), np.concatenate((held[i][1], c))
                     held[i] = best(a, c)
@@ -176,9 +190,9 @@ def nearest(rows: DataFrame, k: int = 10, shortlist: int = 400, sample: int = 16
 
     lists = spark.createDataFrame([], found_schema) if queries.isEmpty() else spark.read.schema(found_schema).parquet(path)
     lists = lists.groupBy("query_id", "part").applyInPandas(merge, found_schema).groupBy("query_id").applyInPandas(merge, found_schema)
-    pairs = lists.select("query_id", F.explode("ids").alias("vec_id"))
-    pairs = pairs.join(valid, "vec_id").join(queries, "query_id")
+    pairs = lists.select("query_id", F.explode("ids").alias("row"))
+    pairs = pairs.join(valid, "row").join(queries, "query_id")
     far = F.sqrt(F.aggregate(F.zip_with("embedding", "query", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    ranked = pairs.select("query_id", "vec_id", far.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("query_id").orderBy("score", "vec_id", "row")
+    ranked = pairs.select("query_id", "vec_id", "row", far.alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
