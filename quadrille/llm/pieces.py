@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import vocabulary_path
+from .tokens import Spans, vocabulary_path
 
 MODEL = "piece_bpe_32k.model"
 _LOW = -np.inf
 _WORDS, _EDGE = re.compile(" +[^ ]*"), re.compile("[^ ] ")
 _RUNS = re.compile(" +[^ ]*|[^ ]+")  # a chunk may begin inside a word
-_DIGEST = "doc_id long, n_tokens long, ids_crc32 long, score double, n_chunks long, round_trip boolean"
+_DIGEST = "doc_id string, n_tokens long, ids_crc32 long, score double, n_chunks long, round_trip boolean"
 
 
 class Pieces:
@@ -55,6 +55,8 @@ class Pieces:
         if any(" " in p.lstrip(" ") for p in self.known):
             raise ValueError("a piece holds a space after another character")
         self.longest = max(map(len, self.known))
+        self.size = np.array([len(r) for r in self.raw])
+        self.flat, self.at = np.frombuffer(b"".join(self.raw), np.uint8), np.cumsum(self.size) - self.size
         #: Neighbouring characters that some piece holds; between any others a cut is certain.
         self.pairs = {p[i : i + 2] for p in self.known for i in range(len(p) - 1)}
         #: Beginnings of pieces: a search ends where it leaves them.
@@ -159,8 +161,13 @@ class Pieces:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text's UTF-8 bytes, without the space before it."""
-        raw = self.raw
-        return b"".join([raw[i] for i in ids.tolist()])[1:]
+        return self.spelt(ids)[1:]
+
+    def spelt(self, ids: np.ndarray) -> bytes:
+        size = self.size.take(ids)
+        ends = np.cumsum(size)
+        where = np.repeat(self.at.take(ids) - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.flat.take(where).tobytes()
 
     # chunks: text[:size] is the chunk's own, what follows is look-ahead
 
@@ -197,9 +204,10 @@ class Pieces:
 
 
 class Merges:
-    """The library's own ids of a BPE model, of runs of characters that no piece leaves; words are encoded once and kept."""
+    """The library's own ids of a BPE model, of runs of characters that no piece leaves; words are encoded once and kept, found
+    by 64-bit hashes of their bytes."""
 
-    def __init__(self, path: str, cap: int = 500_000):
+    def __init__(self, path: str, cap: int = 250_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -215,7 +223,7 @@ class Merges:
         self.scores = np.array([p.score for p in proto.pieces])
         pieces = [p.piece.replace("\u2581", " ") for p in proto.pieces]
         self.pairs = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
-        self.cap, self.words, self.cores = cap, {}, {}
+        self.cap, self.cores, self.spans = cap, {}, Spans(8 * cap)
 
     @staticmethod
     def text(text: str) -> str:
@@ -223,8 +231,6 @@ class Merges:
         return " " + text.replace("\u2581", " ") if text else ""
 
     def word(self, w: str) -> bytes:
-        if len(self.words) > self.cap:
-            self.words.clear()
         if len(self.cores) > self.cap:
             self.cores.clear()
         pairs, cores, raw, at = self.pairs, self.cores, [], 0
@@ -236,13 +242,61 @@ class Merges:
                     hit = cores[part] = np.asarray(self.model.encode(part), dtype="<u2").tobytes()
                 raw.append(hit)
                 at = i
-        hit = self.words[w] = b"".join(raw)
-        return hit
+        return b"".join(raw)
 
     def whole(self, text: str) -> bytes:
         """Ids of a text as text() gives it, or of a chunk of one."""
-        get, word = self.words.get, self.word
-        return b"".join([get(w) or word(w) for w in _RUNS.findall(text)])
+        return b"".join(map(self.word, _RUNS.findall(text)))
+
+    def many(self, texts: list[str], step: int = 500_000) -> list[bytes]:
+        """whole() of each."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size < step):
+                size += len(texts[end])
+                end += 1
+            own = [i for i in range(at, end) if "\0" not in texts[i]]
+            found = dict(zip(own, self._many([texts[i].encode("utf-8", "surrogatepass") for i in own]) if own else ()))
+            out.extend(self.whole(texts[i]) if found.get(i) is None else found[i] for i in range(at, end))
+            at = end
+        return out
+
+    def _many(self, raws: list[bytes], longest: int = 256) -> list[bytes | None]:
+        """Ids of texts without NUL, from their words' hashes; None for one with a word too long for that."""
+        spans = self.spans
+        if spans.n > spans.cap:
+            spans.clear()
+        joined = b"\0".join(raws) + b"\0"
+        raw = np.frombuffer(joined, np.uint8)
+        space = raw == 32
+        start = space.copy()
+        start[1:] &= ~space[:-1]
+        ends = np.flatnonzero(raw == 0)
+        start[0] = True
+        start[ends] = True
+        start[ends[:-1] + 1] = True
+        starts = np.flatnonzero(start)
+        stops = np.append(starts[1:], len(raw))
+        keep = np.flatnonzero(raw.take(starts) != 0)
+        starts, stops = starts.take(keep), stops.take(keep)
+        keys = spans.hashes(raw, starts, stops)
+        slots, missing = spans.find(keys)
+        if len(missing):
+            new, first = np.unique(keys[missing], return_index=True)
+            first = missing[first]
+            got = [self.word(joined[a:b].decode("utf-8", "surrogatepass")) for a, b in zip(starts[first].tolist(), stops[first].tolist())]
+            spans.add(new, np.frombuffer(b"".join(got), "<u2"), np.cumsum([len(g) // 2 for g in got]))
+            slots, missing = spans.find(keys)
+        ids, after = spans.ids(slots)
+        after = np.concatenate((np.zeros(1, dtype=np.int64), after))
+        cuts = (2 * after[np.concatenate((np.zeros(1, dtype=np.int64), np.searchsorted(starts, ends)))]).tolist()
+        out = ids.astype("<u2", copy=False).tobytes()
+        found: list[bytes | None] = [out[a:b] for a, b in zip(cuts, cuts[1:])]
+        for i in np.unique(np.searchsorted(ends, starts[stops - starts > longest])).tolist():
+            found[i] = None
+        return found
 
     def cuts(self, text: str, chunk: int) -> list[int]:
         """Ends of chunks: the first place at `chunk` characters or later where no piece holds both sides."""
@@ -338,8 +392,8 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_i
             if out:
                 yield pd.DataFrame(out, columns=columns).drop(columns="matrix")
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = common.materialise(texts.mapInPandas(first, "row long, doc_id long, n_tokens long, ids_crc32 long, score double, n_chunks long, round_trip boolean, ids binary, chunk long, size long, piece string"), "pieces-first")
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = common.materialise(texts.mapInPandas(first, "row long, doc_id string, n_tokens long, ids_crc32 long, score double, n_chunks long, round_trip boolean, ids binary, chunk long, size long, piece string"), "pieces-first")
     small = rows.where("chunk IS NULL").select("doc_id", "n_tokens", "ids_crc32", "score", "n_chunks", "round_trip", *["ids"] * with_ids)
 
     def matrices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -367,7 +421,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_i
             ids = [m.trace(p, s, e, x) for p, s, e, x in zip(b["piece"], b["size"], b["entry"], b["exit"])]
             yield b[["row", "doc_id", "chunk", "n_chunks", "part_score"]].assign(ids=ids, own=[p[: s] for p, s in zip(b["piece"], b["size"])])
 
-    traced = spread.join(cuts, ["row", "chunk"]).mapInPandas(trace, "row long, doc_id long, chunk long, n_chunks long, part_score double, ids binary, own string")
+    traced = spread.join(cuts, ["row", "chunk"]).mapInPandas(trace, "row long, doc_id string, chunk long, n_chunks long, part_score double, ids binary, own string")
 
     def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Chunks of a document arrive in order; sums and checksums run on, so only with_ids holds a document whole."""
@@ -404,7 +458,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_i
             yield done(state)
 
     large_rows = traced.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInPandas(join_up, digest)
-    return small.unionByName(large_rows)
+    return small.unionByName(common.materialise(large_rows, "pieces-large")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _encode_merges(docs: DataFrame, path: str, chunk: int, with_ids: bool) -> DataFrame:
@@ -416,14 +470,15 @@ def _encode_merges(docs: DataFrame, path: str, chunk: int, with_ids: bool) -> Da
         m, plain = both(path)
         for b in batches:
             out = []
+            raws = iter(m.many([m.text(t) for t in b["text"] if len(t) <= chunk]))
             for row, doc_id, text in zip(b["row"], b["doc_id"], b["text"]):
-                seen = m.text(text)
                 if len(text) <= chunk:
-                    raw = m.whole(seen)
+                    raw = next(raws)
                     ids = np.frombuffer(raw, "<u2")
                     sound = plain.decode(ids) == text.encode("utf-8", "surrogatepass")
                     out.append((row, doc_id, len(ids), zlib.crc32(ids.astype("<u4")), float(m.scores[ids].sum()), 1, sound, raw if with_ids else None, None, None))
                     continue
+                seen = m.text(text)
                 ends = m.cuts(seen, chunk)
                 for k, (at, end) in enumerate(zip([0, *ends], ends)):
                     out.append((row, doc_id, None, None, None, len(ends), "\u2581" not in text, None, k, seen[at:end]))
@@ -433,16 +488,16 @@ def _encode_merges(docs: DataFrame, path: str, chunk: int, with_ids: bool) -> Da
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = common.materialise(texts.mapInPandas(first, "row long, " + _DIGEST + ", ids binary, chunk long, piece string"), "pieces-first")
     small = rows.where("chunk IS NULL").select(*[c.split()[0] for c in _DIGEST.split(", ")], *["ids"] * with_ids)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, plain = both(path)
         for b in batches:
-            raws = [m.whole(p) for p in b["piece"]]
+            raws = m.many(b["piece"].tolist())
             ids = [np.frombuffer(r, "<u2") for r in raws]
-            sound = [ok and b"".join([plain.raw[i] for i in x.tolist()]) == p.encode("utf-8", "surrogatepass") for ok, x, p in zip(b["round_trip"], ids, b["piece"])]
+            sound = [ok and plain.spelt(x) == p.encode("utf-8", "surrogatepass") for ok, x, p in zip(b["round_trip"], ids, b["piece"])]
             yield b.drop(columns="piece").assign(ids=raws, score=[float(m.scores[x].sum()) for x in ids], round_trip=sound)
 
     def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -468,8 +523,9 @@ def _encode_merges(docs: DataFrame, path: str, chunk: int, with_ids: bool) -> Da
 
     n = common.parallelism(spark)
     large = rows.where("chunk IS NOT NULL").select("row", "doc_id", "n_chunks", "round_trip", "chunk", "piece").repartition(n, "row", "chunk")
-    encoded = large.mapInPandas(run, "row long, doc_id long, n_chunks long, round_trip boolean, chunk long, ids binary, score double")
-    return small.unionByName(encoded.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInPandas(join_up, _DIGEST + (", ids binary" if with_ids else "")))
+    encoded = large.mapInPandas(run, "row long, doc_id string, n_chunks long, round_trip boolean, chunk long, ids binary, score double")
+    large_rows = encoded.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInPandas(join_up, _DIGEST + (", ids binary" if with_ids else ""))
+    return small.unionByName(common.materialise(large_rows, "pieces-large")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
@@ -483,4 +539,4 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [None if x is None else m.decode(np.frombuffer(x, "<u2")).decode("utf-8", "replace") for x in b["ids"]]})
 
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInPandas(run, "doc_id long, text string")
+    return rows.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "ids").mapInPandas(run, "doc_id string, text string").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
