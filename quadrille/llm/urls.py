@@ -2,14 +2,14 @@
 
 A host's labels are split at dots and hyphens and, where several words are run together, by a unigram Viterbi
 segmentation. A label that shorter labels cover is no word of the dictionary, however often it is seen. A multinomial
-naive Bayes over the words of host and path gives the verdict where no rule fits.
+naive Bayes over the words of host and path gives the verdict where no rule fits; it learns from the pages that a rule
+decides, or from labels that are given.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,11 +20,6 @@ from . import common
 
 #: (action, host suffix, path prefix)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Words that label a page for training: one of them among its segmented words means block. A documented parameter.
-SEEDS = ("ads", "adult", "bet", "bonus", "casino", "cheap", "click", "escort", "farm", "free", "gambling", "loan", "lottery", "nude", "pharma", "pills", "poker", "porn", "prize", "replica", "sex", "slots", "spam", "track", "tracker", "viagra", "warez", "win", "xxx")
-#: A page needs at least one of these to be blocked by its host alone: single everyday words don't make a seed.
-STRONG = ("adult", "casino", "escort", "gambling", "lottery", "nude", "pharma", "pills", "poker", "porn", "sex", "slots", "spam", "viagra", "warez", "xxx", "ads")
-
 #: Letters of the shortest part of a run-together name, and of the longest word.
 PART, LONGEST = 3, 24
 
@@ -94,10 +89,10 @@ def covered(word: str, parts: set[str]) -> bool:
     return len(word) in ends
 
 
-def label_words(hosts: DataFrame, seeds=SEEDS) -> DataFrame:
+def label_words(hosts: DataFrame, words=()) -> DataFrame:
     """(w, n): labels of distinct hosts(host) that are words of their own, and the hosts that show each.
 
-    A label of which two or more other labels or seeds of at least PART letters are the parts is left out: it is a
+    A label of which two or more other labels or `words` of at least PART letters are the parts is left out: it is a
     run-together name, and its parts are the words. Every label is compared with all others by a join.
     """
     spark = hosts.sparkSession
@@ -105,8 +100,8 @@ def label_words(hosts: DataFrame, seeds=SEEDS) -> DataFrame:
     labels = common.materialise(labels, "url-labels")
     n = F.length("w")
     inner = F.expr(f"flatten(transform(sequence(1, length(w) - {PART - 1}), i -> transform(sequence({PART}, least(length(w) - i + 1, length(w) - 1, {LONGEST})), k -> substring(w, i, k))))")
-    inside = labels.where(n.between(2 * PART, LONGEST) & ~F.col("w").isin(*seeds)).select("w", F.explode(inner).alias("part"))
-    known = labels.select("w").union(spark.createDataFrame([(w,) for w in seeds], "w string")).where(n >= PART).distinct().select(F.col("w").alias("part"))
+    inside = labels.where(n.between(2 * PART, LONGEST) & ~F.col("w").isin(*words)).select("w", F.explode(inner).alias("part"))
+    known = labels.select("w").union(spark.createDataFrame([(w,) for w in words], "w string")).where(n >= PART).distinct().select(F.col("w").alias("part"))
     found = inside.join(known, "part").groupBy("w").agg(F.collect_set("part").alias("parts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,16 +111,17 @@ def label_words(hosts: DataFrame, seeds=SEEDS) -> DataFrame:
     return labels.join(found.mapInPandas(run, "w string"), "w", "left_anti")
 
 
-def split_runs(runs: DataFrame, hosts: DataFrame, seeds=SEEDS) -> DataFrame:
-    """(run, words) of distinct runs(run): the dictionary stays a table, and a run meets the words it holds by a join."""
+def split_runs(runs: DataFrame, hosts: DataFrame, words=()) -> DataFrame:
+    """(run, words) of distinct runs(run): the dictionary, the hosts' labels and given `words`, stays a table, and a run meets
+    the words it holds by a join."""
     spark = runs.sparkSession
-    words = common.materialise(label_words(hosts, seeds), "url-dictionary")
-    of_seed = max(50, (words.agg(F.sum("n")).first()[0] or 0) // 200)
-    words = words.where(~F.col("w").isin(*seeds)).union(spark.createDataFrame([(w, of_seed) for w in seeds], "w string, n long"))
-    total = words.agg(F.sum("n") + F.count("*") + 1).first()[0]
+    known = common.materialise(label_words(hosts, words), "url-dictionary")
+    given = max(50, (known.agg(F.sum("n")).first()[0] or 0) // 200)
+    known = known.where(~F.col("w").isin(*words)).union(spark.createDataFrame([(w, given) for w in words], "w string, n long"))
+    total = known.agg(F.sum("n") + F.count("*") + 1).first()[0]
     inner = F.expr(f"flatten(transform(sequence(1, length(run) - 1), i -> transform(sequence(2, least(length(run) - i + 1, {LONGEST})), k -> substring(run, i, k))))")
     inside = runs.where(F.col("run").rlike("^\\p{L}{2,}$")).select("run", F.explode(inner).alias("w"))
-    found = inside.join(words, "w").groupBy("run").agg(F.collect_set(F.struct("w", "n")).alias("held"))
+    found = inside.join(known, "w").groupBy("run").agg(F.collect_set(F.struct("w", "n")).alias("held"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -135,68 +131,70 @@ def split_runs(runs: DataFrame, hosts: DataFrame, seeds=SEEDS) -> DataFrame:
     return runs.join(found, "run", "left").mapInPandas(run, "run string, words array<string>")
 
 
-def train(rows: DataFrame, seeds=SEEDS, strong=STRONG) -> tuple[DataFrame, float]:
-    """(t, n, score) of every run of rows(host, path), and the log-odds of a page without any: naive Bayes on all pages.
+def train(rows: DataFrame, words=(), stop=()) -> tuple[DataFrame, float]:
+    """(t, n, score) of every run of rows(host, path, bad), and the log-odds of a page without any: multinomial naive Bayes.
 
-    Word counts come from the labels of all hosts, which hyphens and dots separate, run-together ones left out. A page is
-    labelled block if its segmented host holds a strong seed word or two seed words, else allow. Words, their counts by
-    label and the weights that follow are tables without a bound; only totals are collected. n: how often pages show a run.
+    `bad` is null for pages without a label; they teach nothing but the dictionary, whose word counts come from the labels
+    of all hosts, run-together ones left out. Words in `stop` carry no weight. Words, their counts by label and the
+    weights that follow are tables without a bound; only totals are collected. n: how often pages show a run.
     """
-    hosts = common.materialise(rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("n")), "url-hosts")
-
-    def of_hosts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame([(h, t, n) for h, n in zip(b["host"], b["n"]) for t in runs_of(h, "")], columns=["host", "t", "n"])
-
-    def of_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            seen = Counter((h, t) for h, p in zip(b["host"], b["path"]) for t in runs_of("", p))
-            yield pd.DataFrame([(h, t, n) for (h, t), n in seen.items()], columns=["host", "t", "n"])
-
-    kind = "host string, t string, n long"
-    shown = hosts.mapInPandas(of_hosts, kind).union(rows.select("host", "path").where("path <> ''").mapInPandas(of_paths, kind))
-    shown = common.materialise(shown.groupBy("host", "t").agg(F.sum("n").alias("n")), "url-runs")
-    run = F.substring("t", F.lit(3), F.length("t"))
-    words = common.materialise(split_runs(shown.select(run.alias("run")).distinct(), hosts, seeds), "url-words")
-
-    own = shown.where("t LIKE 'h:%'").withColumn("run", run).join(words.where(F.arrays_overlap("words", F.array(*map(F.lit, seeds)))), "run")
-    own = own.select("host", F.explode("words").alias("w")).where(F.col("w").isin(*seeds)).distinct()
-    bad = own.groupBy("host").agg((F.max(F.col("w").isin(*strong)) | (F.count("*") > 1)).alias("bad")).where("bad")
-    bad = common.materialise(bad, "url-bad")
-    label = shown.join(bad, "host", "left").groupBy("t").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum("n").alias("n"))
-    tokens = label.withColumn("run", run).join(words, "run").select("t", "n", "b", F.explode("words").alias("w"))
-    tokens = tokens.where(F.startswith("t", F.lit("h:")) | ~F.col("w").rlike("^\\p{Nd}+$")).select("t", "n", "b", F.concat(F.left("t", F.lit(2)), "w").alias("w"))
-    tokens = common.materialise(tokens, "url-tokens")
-    counts = common.materialise(tokens.groupBy("w").agg(F.sum("b").alias("b"), (F.sum("n") - F.sum("b")).alias("g")), "url-counts")
+    of = [F.count("*").alias("n"), F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g")]
+    hosts = common.materialise(rows.where("host <> ''").groupBy("host").agg(*of), "url-hosts")
+    paths = rows.where("path <> ''").groupBy("path").agg(*of)
+
+    def runs(side: str):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                found = [(t, n, x, g) for name, n, x, g in zip(b[side], b["n"], b["b"], b["g"]) for t in (runs_of(name, "") if side == "host" else runs_of("", name))]
+                yield pd.DataFrame(found, columns=["t", "n", "b", "g"])
+
+        return run
+
+    kind = "t string, n long, b long, g long"
+    shown = hosts.mapInPandas(runs("host"), kind).union(paths.mapInPandas(runs("path"), kind))
+    shown = common.materialise(shown.groupBy("t").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("g").alias("g")), "url-runs").withColumn("run", F.substring("t", F.lit(3), F.length("t")))
+    split = common.materialise(split_runs(shown.select("run").distinct(), hosts, words), "url-words")
+    tokens = shown.join(split, "run").select("t", "n", "b", "g", F.explode("words").alias("w"))
+    tokens = tokens.where(F.startswith("t", F.lit("h:")) | ~F.col("w").rlike("^\\p{Nd}+$")).withColumn("w", F.concat(F.left("t", F.lit(2)), "w"))
+    tokens = common.materialise(tokens.where(~F.col("w").isin(*stop)) if stop else tokens, "url-tokens")
+    counts = common.materialise(tokens.groupBy("w").agg(F.sum("b").alias("b"), F.sum("g").alias("g")), "url-counts")
     all_bad, all_good, size = counts.agg(F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0)), F.count("*") + 1).first()
     weights = counts.select("w", (F.log((F.col("b") + 1) / F.lit(all_bad + size)) - F.log((F.col("g") + 1) / F.lit(all_good + size))).alias("weight"))
     scores = tokens.join(weights, "w").groupBy("t").agg(F.first("n").alias("n"), F.sum("weight").alias("score"))
-    pages_bad = hosts.join(bad, "host").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return common.materialise(scores, "url-scores"), math.log((pages_bad + 1) / (rows.count() - pages_bad + 1))
+    bad, good = rows.agg(F.count_if("bad"), F.count_if(~F.col("bad"))).first()
+    return common.materialise(scores, "url-scores"), math.log((bad + 1) / (good + 1))
 
 
-def judge(pages: DataFrame, rules=RULES, head: int = 50_000) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, words=(), head: int = 50_000) -> DataFrame:
     """pages(page_id, url): page_id, host, path, rule, verdict, score.
 
-    A null url, or one without ://, has an empty host and path. The score is the log-odds of block; it decides where
-    no rule fits. Repeated rows are judged alike. The scores of the `head` most frequent runs go to the workers; pages
-    with others get those by a join, which frequent runs then don't burden.
+    A null url, or one without ://, has an empty host and path, and counts for nothing. The score is the log-odds of
+    block; it decides where no rule fits. It is learned from labels(page_id, block boolean, one row a page) where they are
+    given, else from the pages that a rule decides, in which the rules' own words carry no weight. `words` are added to the
+    dictionary. Repeated rows are judged alike. The scores of the `head` most frequent runs go to the workers; pages with
+    others get those by a join, which frequent runs then don't burden.
     """
     common.ship(pages.sparkSession)
     host, path = split_url(F.col("url"))
-    rows = common.materialise(pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")), "url-pages")
-    scores, prior = train(rows)
+    rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
+    rule, action = rule_of(F.col("host"), F.col("path"), rules)
+    if labels is None:
+        rows, stop = rows.withColumn("bad", action == "block"), sorted({t for _, name, start in rules for t in runs_of(name, start)})
+    else:
+        rows, stop = rows.join(labels.select(F.col("page_id").cast("long").alias("page_id"), F.col("block").alias("bad")), "page_id", "left"), []
+    rows = common.materialise(rows, "url-pages")
+    scores, prior = train(rows.where("host <> ''"), words, stop)
     known = {r["t"]: r["score"] for r in scores.orderBy(F.desc("n"), "t").limit(head).collect()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             runs = [runs_of(h, p) for h, p in zip(b["host"], b["path"])]
             score = [prior + sum(known.get(t, 0.0) for t in ts) if h else 0.0 for h, ts in zip(b["host"], runs)]
-            yield b.assign(score=score, rest=[[t for t in ts if t not in known] for ts in runs])
+            yield b[["row", "host", "path"]].assign(score=score, rest=[[t for t in ts if t not in known] for ts in runs])
 
-    scored = common.materialise(rows.mapInPandas(run, "row long, page_id long, host string, path string, score double, rest array<string>"), "url-scored")
+    found = rows.select("row", "host", "path").mapInPandas(run, "row long, host string, path string, score double, rest array<string>")
+    scored = common.materialise(found, "url-scored")
     rest = scored.select("row", F.explode("rest").alias("t")).join(scores.select("t", F.col("score").alias("more")), "t").groupBy("row").agg(F.sum("more").alias("more"))
     late = scored.where("size(rest) > 0").join(rest, "row", "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).drop("more")
-    scored = scored.where("size(rest) = 0").unionByName(late)
-    rule, action = rule_of(F.col("host"), F.col("path"), rules)
+    scored = scored.where("size(rest) = 0").unionByName(late).join(rows.select("row", "page_id"), "row")
     return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"), "score")

@@ -124,6 +124,40 @@ def test_op2_equals_brute_force(docs_of, block):
     assert all(r["kept"] == (d == r["component_id"]) for d, r in got.items())
 
 
+def test_op2_repeated_and_large_ids(docs_of):
+    from quadrille.llm.minhash import near_duplicates
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    near = a + " more"
+    for rows in ([(1, a), (1, b), (2, near)], [(1, b), (1, a), (2, near)], [(2, near), (1, b), (1, a)]):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"], r["first"]) for r in near_duplicates(docs_of(rows)).collect())
+        assert got == [(1, 56, 1, True, True), (1, 56, 1, True, True), (2, 57, 1, False, False)]
+    rows = [(None, a), (None, a), (BIG, a), (BIG + 1, near), (BIG + 2, b)]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs_of(rows)).collect()}
+    assert got == {(None, None, True), (BIG, BIG, True), (BIG + 1, BIG, False), (BIG + 2, BIG + 2, True)}
+
+
+def test_op2_compares_leaders_first(docs_of):
+    """A band's members that its leader links go no further; those that it doesn't link are compared with all others."""
+    from quadrille.llm.minhash import near_duplicates
+
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(base)) for i in range(3)]
+    for i in range(40):
+        t = list(base)
+        for k in range(int(rng.integers(0, 4))):
+            t[int(rng.integers(0, 100))] = f"x{i}-{k}"
+        rows.append((100 + i, " ".join(t)))
+    for chain in range(10):  # each like the one before it, ever less like the first
+        t = base[: 100 - 3 * chain] + [f"y{k}" for k in range(3 * chain)]
+        rows.append((500 + chain, " ".join(t)))
+    want = brute_components(rows)
+    for block in (512, 2):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(docs_of(rows), block=block).collect()}
+        assert got == want
+
+
 def test_op2_edges(docs_of):
     from quadrille.llm.minhash import near_duplicates
 
@@ -163,7 +197,7 @@ def test_op3_equals_the_library(docs_of):
     m = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(MODEL))
     rng = np.random.default_rng(12)
     bits = ["a", "b", " ", "   ", "th", "the", "ing", "é", "\n", "😀", "inter", "national", "日本", "\u2581", "\t", "İ", "１", "2,000", "<s>", "</s>", "<unk>", "<0x41>", "\0"]
-    rows = [(i, t) for i, (_, t) in enumerate(SAMPLE)] + [(50, "long words here, " * 300)]
+    rows = [(i, t) for i, (_, t) in enumerate(SAMPLE)] + [(50, "long words here, " * 300), (None, "no id"), (BIG, "big"), (BIG + 1, "x" * 300)]
     rows += [(100 + i, "".join(rng.choice(bits, rng.integers(1, 90)))) for i in range(300)]
     for chunk in (100, 7):
         got = {r["doc_id"]: r for r in encode(docs_of(rows), chunk=chunk, with_ids=True).collect()}
@@ -198,6 +232,28 @@ def test_op4_recall_and_edges(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_op4_repeated_ids_and_lengths(spark):
+    from quadrille.llm.ann import nearest
+
+    rows = [(0, [0.0, 1.0]), (7, [0.0, 1.0]), (7, [3.0, 5.0]), (7, [6.0, 9.0]), (100, [0.0, 0.0, 2.0]), (8, [0.0, 0.0, 1.0]), (0, [9.0, 9.0]), (BIG, [0.0, 2.0])]
+    got = sorted(tuple(r) for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 7, 0.0), (0, 2, BIG, 1.0), (0, 3, 7, 5.0), (0, 4, 7, 10.0), (100, 1, 8, 1.0)]
+
+
+def test_op5_short_and_long_clips_pass_the_same_filter(spark):
+    from quadrille.llm import media
+
+    x = (8000 * np.sin(np.arange(400) * 0.9)).astype(np.int16)  # above half the target rate
+    for n in (20, 31, 400):
+        low = media.resample(x[:n], 8000, 2000)
+        assert len(low) == -(-n // 4) and np.abs(low[2:-2]).max(initial=0) < 2500
+    adpcm = bytearray(media.wav(bytes(64), media.IMA_ADPCM))
+    adpcm[32:34] = (64).to_bytes(2, "little")  # bytes of a block
+    rows = [(BIG, media.wav(bytes(range(256)))), (None, None), (1, bytes(adpcm))]
+    got = {r["doc_id"]: r["pcm"] for r in media.pcm_column(spark.createDataFrame(rows, "doc_id long, media binary"), 4000).collect()}
+    assert got[None] is None and bytes(got[BIG]) == media.to_pcm(rows[0][1], 4000).tobytes()
+
+
 def test_op5_laws_and_round_trip(docs_of):
     from quadrille.llm import media
 
@@ -235,12 +291,12 @@ def test_op6_rules_and_words(spark):
     from quadrille.llm.urls import Segmenter, judge
 
     assert Segmenter({"spam": 9, "farm": 9, "cheap": 5, "pills": 5}).split("cheappillsfarm") == ["cheap", "pills", "farm"]
-    rows = [(1, "http://A.example.NET/en/1?x"), (2, "https://example.net/fr"), (3, "x.example.com/de/"), (4, None), (5, "http://www.example.com/de/9#a"), (6, "http://b.org/fr/1"), (7, "http://notexample.com/de/"), (8, "http://cheappills.shop/buy"), (9, "http://meadow.shop/walk")]
-    rows += [(100 + i, f"http://cheap-pills.shop/buy/{i}") for i in range(20)] + [(200 + i, f"http://meadow{i}.shop/walk/{i}") for i in range(40)]
+    rows = [(1, "http://A.example.NET/en/1?x"), (2, "https://example.net/fr"), (3, "x.example.com/de/"), (4, None), (5, "http://www.example.com/de/9#a"), (6, "http://b.org/fr/1"), (7, "http://notexample.com/de/"), (8, "http://cheappills.shop/buy"), (9, "http://meadow.shop/walk"), (BIG, "http://meadow.shop/walk"), (None, "http://meadow.shop/walk")]
+    rows += [(100 + i, f"http://cheap-pills{i}.net/buy/{i}") for i in range(20)] + [(200 + i, f"http://meadow-{i}.org/fr/walk/{i}") for i in range(40)]
     got = {r["page_id"]: r for r in judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"]) for i in (1, 2, 3, 4, 5, 6, 7)] == [
         ("a.example.net", "/en/1", "example.net/en/"), ("example.net", "/fr", "net/"), ("", "", None), ("", "", None), ("www.example.com", "/de/9", "example.com/de/"), ("b.org", "/fr/1", "org/fr/"), ("notexample.com", "/de/", None)]
-    assert [got[i]["verdict"] for i in (1, 2, 4, 5, 6, 8, 9)] == ["allow", "block", "allow", "block", "allow", "block", "allow"]
+    assert [got[i]["verdict"] for i in (1, 2, 4, 5, 6, 8, 9, BIG, None)] == ["allow", "block", "allow", "block", "allow", "block", "allow", "allow", "allow"]
     assert judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
@@ -248,34 +304,39 @@ def test_op6_splits_names_that_pages_show(spark):
     from quadrille.llm.urls import judge, label_words
 
     names = ["cheappills", "freecasinoslots", "casinogarden", "bestcasinobonus", "adultgarden"]
+    bad = "cheap pills free casino slots bonus adult".split()
     rows = [(i, f"http://u{i}.{names[i % 5]}.shop/a") for i in range(50)]
     rows += [(100 + i, f"http://{w}{i}-{w}.shop/a") for i in range(60) for w in ("garden", "best", "meadow")] + [(900, "http://meadow.shop/a")]
+    rows += [(1000 + 10 * i + k, f"http://{w}-{i}.shop/a") for i in range(30) for k, w in enumerate(bad)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    assert {r["w"] for r in label_words(pages.selectExpr("substring(url, 8, length(url) - 9) host").distinct()).collect()} == {"garden", "best", "meadow", "shop"}
-    got = {r["page_id"]: r["verdict"] for r in judge(pages).collect()}
-    assert [got[i] for i in (*range(50), 900, 100)] == ["block"] * 50 + ["allow"] * 2
+    labels = spark.createDataFrame([(d, d >= 1000) for d, _ in rows if 100 <= d < 900 or d >= 1000], "page_id long, block boolean").distinct()
+    hosts = pages.selectExpr("substring(url, 8, length(url) - 9) host").distinct()
+    assert {r["w"] for r in label_words(hosts).collect()} == {"garden", "best", "meadow", "shop", *bad}
+    got = {r["page_id"]: r["verdict"] for r in judge(pages, labels=labels).collect()}
+    assert [got[i] for i in (0, 1, 3, 900, 100)] == ["block", "block", "block", "allow", "allow"]
 
 
 def test_op6_weighs_every_word(spark):
     from quadrille.llm.urls import judge
 
-    rows = [(i, f"http://u{i}-{'casino' if i % 2 else 'meadow'}.shop/{'zz' if i % 2 else 'yy'}top/{i}x") for i in range(60)] + [(100, "http://plain.shop/zztop/q")]
+    rows = [(i, f"http://u{i}-{'casino' if i % 2 else 'meadow'}.shop/{'zz' if i % 2 else 'yy'}top/{i}x") for i in range(60)] + [(100, "http://plain.shop/zztop/q"), (101, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
-    whole = {r["page_id"]: (r["verdict"], r["score"]) for r in judge(pages).collect()}
+    labels = spark.createDataFrame([(d, d % 2 == 1) for d, _ in rows if d < 100], "page_id long, block boolean")
+    whole = {r["page_id"]: (r["verdict"], r["score"]) for r in judge(pages, labels=labels).collect()}
     for head in (0, 3):  # what the workers hold changes nothing
-        got = {r["page_id"]: (r["verdict"], r["score"]) for r in judge(pages, head=head).collect()}
+        got = {r["page_id"]: (r["verdict"], r["score"]) for r in judge(pages, labels=labels, head=head).collect()}
         assert got == {d: (v, pytest.approx(x)) for d, (v, x) in whole.items()}
-    tokens, pages_of = {}, {True: 0, False: 0}
-    for _, url in rows:
-        bad = "casino" in url
-        host, path = url[7:].split("/", 1)
-        pages_of[bad] += 1
+    tokens = {}
+    for d, url in rows:
+        host, path = url[7:].split("/", 1) if url else ("", "")
         for side, text in (("h:", host), ("p:", path)):
             for w in re.findall("[^\\W_]+", text):
-                tokens.setdefault(side + w, {True: 0, False: 0})[bad] += 1
+                n = tokens.setdefault(side + w, {True: 0, False: 0})
+                if d < 100:
+                    n[d % 2 == 1] += 1
     total = {k: sum(n[k] for n in tokens.values()) + len(tokens) + 1 for k in (True, False)}
-    want = np.log((pages_of[True] + 1) / (pages_of[False] + 1)) + sum(np.log((tokens[t][True] + 1) / total[True]) - np.log((tokens[t][False] + 1) / total[False]) for t in ("h:plain", "h:shop", "p:zztop", "p:q"))
-    assert whole[100][1] == pytest.approx(want)
+    want = np.log(31 / 31) + sum(np.log((tokens[t][True] + 1) / total[True]) - np.log((tokens[t][False] + 1) / total[False]) for t in ("h:plain", "h:shop", "p:zztop", "p:q"))
+    assert whole[100][1] == pytest.approx(want) and whole[100][0] == "block"
 
 
 def test_op7_versions(spark, docs_of, tmp_path):
@@ -335,6 +396,16 @@ def test_op8_one_label_serves_a_list(docs_of):
     assert {r["doc_id"]: r["text"] for r in redact(docs_of(rows)).collect()}[2] == "call [NATIONAL_PHONE] or [NATIONAL_PHONE]"
 
 
+def test_op8_keeps_columns_of_any_name(spark, docs_of):
+    from quadrille.llm.pii import redact
+
+    rows = [(1, "to a@b.cc now", "mine", 5, "z", "r"), (None, None, None, None, None, None), (1, "", "m", 6, "z", "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string, spans int, _null string, `row` string")
+    got = {tuple(r) for r in redact(docs).collect()}
+    assert redact(docs).columns == docs.columns and got == {(1, "to [EMAIL] now", "mine", 5, "z", "r"), rows[1], rows[2]}
+    assert redact(docs.limit(0)).count() == 0
+
+
 def check_pieces(rows, got, name="byte_bpe_50k.json"):
     by, windows = {}, {}
     for r in got:
@@ -398,6 +469,63 @@ def test_op10_accuracy_and_edges(docs_of):
         assert (m.grams[k].rows <= 1e-6).all()
 
 
+def test_op10_learns_languages_of_long_texts_alone(docs_of):
+    from quadrille.llm.langid import language_id
+
+    rng = np.random.default_rng(3)
+    make = lambda lang, n: " ".join("".join(rng.choice(LANGS[lang], 3)) for _ in range(n))
+    rows = [(i, make("aa", 4500), "aa") for i in range(20)] + [(100 + i, make("bb", 40), "bb") for i in range(20)]
+    assert min(len(t) for _, t, lang in rows if lang == "aa") > 20_000
+    rows += [(BIG, make("aa", 30), None), (None, make("bb", 30), None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id(docs_of(rows)).collect()}
+    assert got == {d: lang or ("aa" if d == BIG else "bb") for d, _, lang in rows}
+
+
+def test_op10_equals_kneser_ney_by_hand():
+    """Interpolated Kneser-Ney of the text's own n-grams, counted and discounted one by one."""
+    from collections import Counter
+
+    from quadrille.llm.langid import ORDER, fit
+
+    texts = ["abab", "abba", "baab"]
+    model = fit({"xx": texts})
+    pad = ["   " + t for t in texts]
+    grams = [Counter(t[i - k : i + 1] for t in pad for i in range(3, len(t))) for k in range(ORDER)]
+    for k in range(ORDER - 1):  # kinds of characters before an n-gram; its own count is one where nothing is before it
+        kinds = Counter(g[1:] for g in grams[k + 1])
+        grams[k] = Counter({g: kinds.get(g, 1) for g in grams[k]})
+
+    def discount(k):
+        one, two = (sum(n == x for n in grams[k].values()) for x in (1, 2))
+        return min(max(one / (one + 2 * two) if one + two else 0.5, 0.1), 0.9)
+
+    def p(gram):
+        k = len(gram) - 1
+        lower = 1e-6 if k == 0 else p(gram[1:])
+        own = {g: n for g, n in grams[k].items() if g[:-1] == gram[:-1]}
+        if not own:
+            return lower
+        total = sum(own.values())
+        return max(grams[k][gram] - discount(k), 0) / total + discount(k) * len(own) / total * lower
+
+    for text in ("ab", "abba", "bbab", "aaaa"):
+        loss, size = model.losses([text])
+        full = "   " + text
+        want = -sum(np.log(p(full[i - 3 : i + 1])) for i in range(3, len(full)))
+        assert loss[0, 0] == pytest.approx(want, rel=1e-4), text
+
+
+def test_pipeline_keeps_one_of_repeated_rows(spark, docs_of):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, a), (1, b), (2, a + " more"), (3, b), (None, a), (None, a), (4, None), (5, "")]
+    got = corpus_pipeline.deduplicated(spark, docs_of(rows), "").collect()
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got) == sorted([(1, a), (1, b), (-1, a), (-1, a), (4, ""), (5, "")])
+    for stage in (corpus_pipeline.identified, corpus_pipeline.deduplicated, corpus_pipeline.redacted, corpus_pipeline.packed):
+        assert stage(spark, docs_of([]), "").count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark, docs_of, tmp_path):
     import corpus_pipeline
 
