@@ -7,7 +7,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -528,11 +527,5 @@ class Compiler:
 
 
 def quoted_parts(c: Column) -> Column:
-    """struct(s, p, o) of an encoded quoted triple; NULL for other terms. Arrow-batched, as nesting isn't regular."""
-    split_quoted = T.split_quoted
-
-    @F.pandas_udf("s string, p string, o string")
-    def parts(x: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([split_quoted(t) if isinstance(t, str) and t.startswith("<<") else (None, None, None) for t in x], columns=["s", "p", "o"])
-
-    return parts(c)
+    """struct(s, p, o) of an encoded quoted triple; NULL for other terms."""
+    return F.struct(*[F.when(T.is_quoted(c), F.regexp_extract(c, T.QUOTED, i)).alias(n) for i, n in enumerate("spo", 1)])

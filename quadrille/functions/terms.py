@@ -56,6 +56,19 @@ def parse_term(text: str, position: str = "object") -> str:
     return encode_iri(text)
 
 
+def _quoted_pattern(depth: int) -> str:
+    """A regular expression of an encoded quoted triple with groups for its parts; subjects nest up to `depth` deep."""
+    subject = r"<(?!<)[^<>\x00-\x20]*>|_:[^\x00-\x20]+"
+    plain = subject
+    for _ in range(depth):
+        subject = rf"{plain}|<< (?:{subject}) <[^<>\x00-\x20]*> .*? >>"
+    return rf"(?s)^<< ({subject}) (<[^<>\x00-\x20]*>) (.*) >>$"
+
+
+#: The object is what is left, so objects nest to any depth.
+QUOTED = _quoted_pattern(4)
+
+
 def split_quoted(text: str) -> tuple[str, str, str]:
     """Encoded parts of an encoded quoted triple."""
     body, parts, at = text[2:-2].strip(), [], 0

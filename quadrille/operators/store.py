@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +20,8 @@ from ..plans.algebra import Query, Update
 from ..plans.compiler import QuadTable, QueryCompiler, run
 from ..plans.parser import SparqlError, parse_query, parse_update
 from ..sources.rdfxml import parse_rdfxml
-from ..sources.turtle import parse_turtle
-from . import consistency, dred, reasoner, shacl
+from ..sources.turtle import parse_ntriples, parse_turtle
+from . import consistency, dred, durable, reasoner, shacl
 from .durable import cut
 
 QUADS = "s string, p string, o string, g string"
@@ -34,12 +36,60 @@ def options(cls, raw: str | dict | None):
 
 
 class GraphStore:
-    def __init__(self, spark: SparkSession, quads: DataFrame | None = None):
-        self.spark = spark
-        self.quads = spark.createDataFrame([], QUADS) if quads is None else cut(quads.select(*KEY).distinct())
-        self.parts = 1
+    """`path`: a shared folder to keep the store in. Every call that changes it publishes a new manifest of its parts there,
+    whole or not at all, and GraphStore(spark, path=...) opens the last one again; a writer that lost a race fails. The
+    dependency index of materialisation belongs to the session.
+    """
+
+    def __init__(self, spark: SparkSession, quads: DataFrame | None = None, path: str | None = None):
+        self.spark, self.path, self.version = spark, path.rstrip("/") if path else None, 0
+        self.quads, self.folders = spark.createDataFrame([], QUADS), []
         self.graphs: set[str] = set()  # named graphs that CREATE has made
         self.deps: DataFrame | None = None
+        self.parts, self.viewed, self._inside = 1, False, False
+        if self.path:
+            self._open()
+        if quads is not None:
+            with self._change():
+                self._replace(quads.select(*KEY).distinct())
+
+    def _open(self) -> None:
+        known = [n for n in durable.names(self.spark, self.path) if n.startswith("manifest-") and n.endswith(".json")]
+        if known:
+            state = json.loads(durable.read_text(self.spark, f"{self.path}/{known[-1]}"))
+            self.version, self.folders, self.graphs = state["version"], state["parts"], set(state["graphs"])
+            self.parts = max(1, len(self.folders))
+            if self.folders:
+                self.quads = self.spark.read.schema(QUADS).parquet(*[f"{self.path}/{f}" for f in self.folders])
+
+    @contextmanager
+    def _change(self) -> Iterator[None]:
+        """What happens inside takes effect as a whole: a failure leaves the store as it was."""
+        if self._inside:
+            yield
+            return
+        saved = self.quads, self.parts, set(self.graphs), self.deps, list(self.folders)
+        self._inside = True
+        try:
+            yield
+            if self.path and (self.folders != saved[4] or self.graphs != saved[2]):
+                body = json.dumps({"version": self.version + 1, "parts": self.folders, "graphs": sorted(self.graphs)})
+                if not durable.publish(self.spark, f"{self.path}/manifest-{self.version + 1:012d}.json", body):
+                    raise RuntimeError(f"version {self.version + 1} of {self.path} was written by another writer")
+                self.version += 1
+        except BaseException:
+            self.quads, self.parts, self.graphs, self.deps, self.folders = saved
+            raise
+        finally:
+            self._inside = False
+        if self.viewed and self.quads is not saved[0]:
+            self.create_views()
+
+    def _written(self, quads: DataFrame) -> DataFrame:
+        if not self.path:
+            return cut(quads)
+        self.folders.append("part-" + uuid.uuid4().hex)
+        return cut(quads, f"{self.path}/{self.folders[-1]}")
 
     # helpers
 
@@ -57,7 +107,8 @@ class GraphStore:
         return self.spark.createDataFrame(rows, QUADS)
 
     def _replace(self, quads: DataFrame) -> None:
-        self.quads, self.parts = cut(quads), 1
+        self.folders = []
+        self.quads, self.parts = self._written(quads), 1
 
     def _append(self, new: DataFrame) -> None:
         """Add a written part; the table is rewritten only when many parts have gathered."""
@@ -72,16 +123,20 @@ class GraphStore:
 
     def insert_df(self, rows: DataFrame) -> int:
         """Add quads (s, p, o, g) of a DataFrame; returns how many are new."""
-        new = cut(self._match(rows.select(*KEY).distinct(), self.quads, "left_anti"))
-        n = new.count()
-        if n:
-            self._append(new)
+        with self._change():
+            new = self._written(self._match(rows.select(*KEY).distinct(), self.quads, "left_anti"))
+            n = new.count()
+            if n:
+                self._append(new)
+            elif self.path:
+                self.folders.pop()
         return n
 
     def delete_df(self, rows: DataFrame) -> int:
-        n = self._match(self.quads, rows.select(*KEY).distinct(), "left_semi").count()
-        if n:
-            self._replace(self._match(self.quads, rows, "left_anti"))
+        with self._change():
+            n = self._match(self.quads, rows.select(*KEY).distinct(), "left_semi").count()
+            if n:
+                self._replace(self._match(self.quads, rows, "left_anti"))
         return n
 
     # single quads and batches
@@ -127,7 +182,8 @@ class GraphStore:
         return self.delete_df(self.rows(self.parse_rows(text)))
 
     def rdf_clear(self) -> int:
-        self.quads, self.parts, self.graphs, self.deps = self.spark.createDataFrame([], QUADS), 1, set(), None
+        with self._change():
+            self.quads, self.parts, self.graphs, self.deps, self.folders = self.spark.createDataFrame([], QUADS), 1, set(), None, []
         return 1
 
     def rdf_count(self, *graph: str | None) -> int:
@@ -155,7 +211,11 @@ class GraphStore:
     def rdf_load_turtle_to_graph(self, text: str, g: str | None) -> int:
         return self._load(parse_turtle(text, self._scope()), g)
 
-    rdf_load_ntriples, rdf_load_ntriples_to_graph = rdf_load_turtle, rdf_load_turtle_to_graph
+    def rdf_load_ntriples(self, text: str) -> int:
+        return self._load(parse_ntriples(text, self._scope()), None)
+
+    def rdf_load_ntriples_to_graph(self, text: str, g: str | None) -> int:
+        return self._load(parse_ntriples(text, self._scope()), g)
 
     def rdf_load_rdfxml(self, text: str) -> int:
         return self._load(parse_rdfxml(text, self._scope()), None)
@@ -254,11 +314,12 @@ class GraphStore:
     # updates
 
     def sparql_update(self, text: str) -> int:
-        """Runs all operations; returns the change of the number of quads."""
+        """Runs all operations, or none if one fails; returns the change of the number of quads."""
         updates = parse_update(text)
         before = self.rdf_count_all()
-        for u in updates:
-            self._update(u)
+        with self._change():
+            for u in updates:
+                self._update(u)
         return self.rdf_count_all() - before
 
     def _update(self, u: Update) -> None:
@@ -345,11 +406,12 @@ class GraphStore:
             return 0
         if self.deps is None or self.deps.isEmpty():
             raise T.TermError("Invalid argument: rdf_dred_overdelete: no dependency index; materialise with track_dependencies first")
-        gone = cut(dred.cascade(self.deps, self.rows(rows).select(dred.key().alias("key"))))
-        n = gone.count()
-        if n:
-            self._replace(self.quads.withColumn("key", dred.key()).join(gone, "key", "left_anti").select(*KEY))
-            self.deps = cut(dred.forget(self.deps, gone))
+        with self._change():
+            gone = cut(dred.cascade(self.deps, self.rows(rows).select(dred.key().alias("key"))))
+            n = gone.count()
+            if n:
+                self._replace(self.quads.withColumn("key", dred.key()).join(gone, "key", "left_anti").select(*KEY))
+                self.deps = cut(dred.forget(self.deps, gone))
         return n
 
     # validation
@@ -366,13 +428,15 @@ class GraphStore:
         fresh = shacl.report(found, o)
         own = lambda c: F.when(F.col(c).rlike("^_:(report$|r[0-9a-f]{32}$)"), F.concat(F.col(c), F.lit(scope))).otherwise(F.col(c))
         fresh = fresh.select(own("s").alias("s"), "p", own("o").alias("o"), F.lit(target).cast("string").alias("g"))
-        self._replace(self.quads.where(~F.col("g").eqNullSafe(F.lit(target))).union(fresh))
+        with self._change():
+            self._replace(self.quads.where(~F.col("g").eqNullSafe(F.lit(target))).union(fresh))
         return n
 
     # the virtual table
 
     def create_views(self) -> None:
-        """Temporary views rdf_triples (subject, predicate, object) and rdf_triples_g, with the graph."""
+        """Temporary views rdf_triples (subject, predicate, object) and rdf_triples_g, with the graph; they follow changes."""
+        self.viewed = True
         named = self.quads.select(F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"), F.regexp_replace("g", "^<|>$", "").alias("graph"))
         named.createOrReplaceTempView("rdf_triples_g")
         named.select("subject", "predicate", "object").createOrReplaceTempView("rdf_triples")
@@ -391,5 +455,13 @@ class GraphStore:
 
 
 def register(spark: SparkSession) -> None:
-    """SQL functions of the pure term operators, for use over any table of encoded terms."""
-    spark.udf.register("rdf_quoted_parts", lambda t: T.split_quoted(t) if t and t.startswith("<<") else None, "struct<s:string,p:string,o:string>")
+    """The pure term functions for SQL over any column of encoded terms: rdf_term_type, rdf_term_value, rdf_triple_subject,
+    rdf_triple_predicate and rdf_triple_object. Their bodies are SQL expressions, which Catalyst inlines."""
+    value = r"""CASE WHEN startswith(t, '<<') THEN CAST(raise_error('rdf_term_value: triple terms have no scalar value') AS STRING) WHEN startswith(t, '<') THEN regexp_replace(substr(t, 2), r'>+$', '')
+        WHEN startswith(t, '_:') THEN substr(t, 3) WHEN startswith(t, '"') THEN regexp_extract(t, r'(?s)^"(.*)"', 1) WHEN t IS NOT NULL THEN CAST(raise_error('rdf_term_value: not a term') AS STRING) END"""
+    kind = """CASE WHEN startswith(t, '<<') THEN 'triple' WHEN startswith(t, '<') THEN 'iri' WHEN startswith(t, '_:') THEN 'blank' WHEN startswith(t, '"') THEN 'literal' ELSE 'unknown' END"""
+    bodies = {"rdf_term_type": kind, "rdf_term_value": value}
+    for i, part in enumerate(("subject", "predicate", "object"), 1):
+        bodies[f"rdf_triple_{part}"] = f"CASE WHEN startswith(t, '<<') THEN regexp_extract(t, r'{T.QUOTED}', {i}) END"
+    for name, body in bodies.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS STRING RETURN {body}")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import CANONICAL, DEC, Compiler, Value, bare, integer, order_keys, quoted_parts, string, string_arg, term, to_bool, to_num, to_term, written
 from ..functions import terms as T
 from ..functions.terms import is_blank, is_iri, is_literal
-from ..operators import closure
+from ..operators import closure, durable
 from .algebra import BGP, Agg, Call, Exists, Extend, Filter, Graph, Join, LeftJoin, Minus, Path, Query, Quoted, Service, Union, Values, Var, variables
 from .parser import SparqlError
 
@@ -373,13 +374,20 @@ class QueryCompiler:
             return a
         if not any(x in a.maybe or x in b.maybe for x in shared):
             return Solution(a.df.join(b.df, [col_name(x) for x in shared], "left_anti"), a.names, a.maybe, a.kinds)
-        right = b.df.select(*[_c(x).alias("r_" + col_name(x)) for x in shared]).distinct()
-        cond, both = F.lit(True), F.lit(False)
-        for x in shared:
-            r = F.col("r_" + col_name(x))
-            cond = cond & compatible(_c(x), r, x not in a.maybe and x not in b.maybe)
-            both = both | (_c(x).isNotNull() & r.isNotNull())
-        return Solution(a.df.join(right, cond & both, "left_anti"), a.names, a.maybe, a.kinds)
+        df = a.df  # for every set of variables that may be unbound in b, and in the row, an equi-join on the others
+        for other in product(*[(True, False) if x in b.maybe else (True,) for x in shared]):
+            right = b.df.select(*[_c(x) for x in shared])
+            for x, bound in zip(shared, other):
+                right = right.where(_c(x).isNotNull() if bound else _c(x).isNull())
+            own = [x for x, bound in zip(shared, other) if bound]
+            for mask in product(*[(True, False) if x in a.maybe else (True,) for x in own]):
+                keys = [x for x, bound in zip(own, mask) if bound]
+                if keys:  # a row in which one of the others is bound isn't this set's: its key is kept apart by a null
+                    gone = right.select(*[_c(x).alias("r_" + col_name(x)) for x in keys]).distinct()
+                    rest = [x for x in own if x not in keys]
+                    cond = reduce(lambda c, x: c & (_c(x) == F.col("r_" + col_name(x))), keys, F.lit(True))
+                    df = df.join(gone, reduce(lambda c, x: c & _c(x).isNull(), rest, cond), "left_anti")
+        return Solution(df, a.names, a.maybe, a.kinds)
 
     def on_filter(self, node: Filter) -> Solution:
         sol = self.compile(node.inner)
@@ -422,6 +430,25 @@ class QueryCompiler:
             cond = cond & to_bool(Compiler(column, error=SparqlError, kinds=kinds)(e))
         return Solution(a.df.join(right, cond, how), a.names, a.maybe, a.kinds)
 
+    def compatible_rows(self, a: Solution, b: Solution, shared: list) -> DataFrame:
+        """Rows of a with a compatible one in b: for every set of variables that are unbound in either, an equi-join."""
+        parts = []
+        for mask in product(*[(True, False) if n in a.maybe else (True,) for n in shared]):
+            left = a.df
+            for n, bound in zip(shared, mask):
+                left = left.where(_c(n).isNotNull() if bound else _c(n).isNull())
+            own = [n for n, bound in zip(shared, mask) if bound]
+            for other in product(*[(True, False) if n in b.maybe else (True,) for n in own]):
+                right = b.df
+                for n, bound in zip(own, other):
+                    right = right.where(_c(n).isNotNull() if bound else _c(n).isNull())
+                keys = [n for n, bound in zip(own, other) if bound]
+                if keys:
+                    parts.append(left.join(right.select(*[_c(n) for n in keys]).distinct(), [col_name(n) for n in keys], "left_semi").select(a.df.columns))
+                else:
+                    parts.append(left.join(F.broadcast(right.limit(1).select(F.lit(1).alias("_one"))), how="cross").drop("_one"))
+        return reduce(DataFrame.union, parts).distinct()
+
     def free(self, e) -> set:
         if isinstance(e, Var):
             return {e.name}
@@ -440,9 +467,12 @@ class QueryCompiler:
             flag, s = f"_e{state['n']}", state["sol"]
             b = self.compile(x.inner)
             shared = [n for n in s.names if n in b.names]
-            if any(n in s.maybe or n in b.maybe for n in shared):
-                raise SparqlError("SPARQL evaluation error: EXISTS inside an expression needs bound variables")
-            if shared:
+            if any(n in s.maybe or n in b.maybe for n in shared):  # rows are numbered, and those that find a partner are marked
+                row = f"_row{state['n']}"
+                df = durable.cut(s.df.withColumn(row, F.monotonically_increasing_id()))
+                found = self.compatible_rows(Solution(df, s.names, s.maybe), b, shared).select(row).withColumn(flag, F.lit(True))
+                df = df.join(found, row, "left").drop(row)
+            elif shared:
                 hit = b.df.select(*[_c(n) for n in shared]).distinct().withColumn(flag, F.lit(True))
                 df = s.df.join(hit, [col_name(n) for n in shared], "left")
             else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.terms import to_ntriples
 from .rdfxml import parse_rdfxml
-from .turtle import parse_turtle
+from .turtle import parse_ntriples, parse_turtle
 
 QUADS = "s string, p string, o string, g string"
 
@@ -26,7 +26,7 @@ def read_ntriples(spark: SparkSession, path: str, graph: str | None = None) -> D
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for file, own in b.groupby("file"):
-                yield pd.DataFrame([(*r, graph) for r in parse_turtle("\n".join(own["value"]), "f" + file)], columns=["s", "p", "o", "g"])
+                yield pd.DataFrame([(*r, graph) for r in parse_ntriples("\n".join(own["value"]), "f" + file)], columns=["s", "p", "o", "g"])
 
     return lines.mapInPandas(run, QUADS)
 

@@ -231,3 +231,19 @@ class TurtleReader(TermReader):
 
 def parse_turtle(text: str, scope: str = "") -> list[tuple[str, str, str]]:
     return list(TurtleReader(text, scope).document())
+
+
+_LINE = re.compile(
+    r"""(?:[ \t]*(?P<s><[^\x00-\x20<>"{}|^`]*>|_:[\w](?:[\w.\-·]*[\w\-·])?|<<.*>>)[ \t]*(?P<p><[^\x00-\x20<>"{}|^`]*>)[ \t]*
+    (?P<o><[^\x00-\x20<>"{}|^`]*>|_:[\w](?:[\w.\-·]*[\w\-·])?|<<.*>>|"(?:[^"\\\n\r]|\\.)*"(?:@[a-zA-Z]+(?:-[a-zA-Z0-9]+)*|\^\^<[^\x00-\x20<>"{}|^`]*>)?)[ \t]*\.)?[ \t]*(?:\#.*)?""",
+    re.X,
+)
+
+
+def parse_ntriples(text: str, scope: str = "") -> list[tuple[str, str, str]]:
+    """Rows of N-Triples: one triple a line, absolute IRIs, nothing of Turtle's shorthand."""
+    for i, line in enumerate(re.split(r"[\r\n]+", text), 1):
+        m = _LINE.fullmatch(line)
+        if m is None or any(x and x.startswith("<") and not x.startswith("<<") and ":" not in x for x in (m["s"], m["p"], m["o"])):
+            raise RdfError(f"RDF parse error: line {i} isn't a triple of N-Triples")
+    return parse_turtle(text, scope)
