@@ -16,7 +16,7 @@ def walk(u: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """(head, pos, item, n) of the well-formed lists among `heads` (head), by default all objects of list predicates.
 
     A list with a cell of no or several rdf:first or rdf:rest, with a literal or quoted rest, or with a cycle has no
-    rows; rdf:nil as a head is an empty list and has none either. One round per position, over all lists.
+    rows; rdf:nil as a head is an empty list and has none either. Distances to the end, then places, double in every round.
     """
     spark = u.sparkSession
     schema = "head string, pos int, item string, n int"
@@ -31,17 +31,22 @@ def walk(u: DataFrame, heads: DataFrame | None = None) -> DataFrame:
         return spark.createDataFrame([], schema)
     if heads is None:
         heads = u.where(F.col("p").isin(*HEADS)).selectExpr("o AS head").distinct()
-    at = heads.selectExpr("head", "head AS cell")
-    found, done, pos = None, None, 0
-    while pos < limit:
-        step = cut(at.join(cells, "cell").selectExpr("head", f"{pos} AS pos", "item", "rest"))
-        if step.isEmpty():
+    far, span = cells.selectExpr("cell", "rest AS dest", "1 AS dist"), 1
+    while span < limit:
+        ended, open_ = far.where(F.col("dest") == NIL), far.where(F.col("dest") != NIL)
+        more = cut(open_.join(far.selectExpr("cell AS dest", "dest AS next", "dist AS more"), "dest").selectExpr("cell", "next AS dest", "dist + more AS dist"))
+        if more.isEmpty():
             break
-        found = step if found is None else found.union(step)
-        ended = step.where(F.col("rest") == NIL).selectExpr("head", f"{pos + 1} AS n")
-        done = ended if done is None else done.union(ended)
-        at = step.where(F.col("rest") != NIL).selectExpr("head", "rest AS cell")
-        pos += 1
-    if found is None:
+        far, span = cut(ended.union(more)), span * 2
+    ended = cut(far.where(F.col("dest") == NIL).selectExpr("cell", "dist AS n"))
+    at = cut(heads.join(ended.withColumnRenamed("cell", "head"), "head").selectExpr("head", "n", "0 AS pos", "head AS cell"))
+    longest = at.agg(F.max("n")).first()[0]
+    if not longest:
         return spark.createDataFrame([], schema)
-    return cut(found.join(done, "head").select("head", "pos", "item", "n"))
+    jump, span = cells.join(ended, "cell", "left_semi").where(F.col("rest") != NIL).selectExpr("cell", "rest AS dest"), 1
+    while span < longest:  # the first `span` places of every list are known; a jump doubles them
+        at = cut(at.union(at.join(jump, "cell").selectExpr("head", "n", f"pos + {span} AS pos", "dest AS cell")))
+        span *= 2
+        if span < longest:
+            jump = cut(jump.join(jump.selectExpr("cell AS dest", "dest AS next"), "dest").selectExpr("cell", "next AS dest"))
+    return cut(at.join(cells, "cell").select("head", "pos", "item", "n"))

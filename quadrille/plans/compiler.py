@@ -331,6 +331,8 @@ class QueryCompiler:
             keys = [col_name(x) for x in shared]
             df = a.df.drop("_unit").join(b.df.drop("_unit"), keys, how)
             return Solution(df.select(*[_c(x) for x in names]), names, maybe, kinds)
+        if how == "inner" and on is None and 1 <= sum((x in a.maybe) + (x in b.maybe) for x in shared) <= 3:
+            return Solution(self.split_join(a, b, shared, names), names, maybe, kinds)
         right = b.df.select(*[_c(x).alias("r_" + col_name(x)) for x in b.names], F.lit(1).alias("_r"))
         cond = F.lit(True)
         for x in shared:
@@ -352,6 +354,28 @@ class QueryCompiler:
                 columns.append(_c(x) if x in a.names else F.col("r_" + col_name(x)).alias(col_name(x)))
         return Solution(df.select(*columns, *([] if columns else [F.lit(1).alias("_unit")])), names, maybe, kinds)
 
+    def split_join(self, a: Solution, b: Solution, shared: list, names: list) -> DataFrame:
+        """A join on variables that may be unbound: for every set of those that are bound on both sides, an equi-join."""
+
+        def split(sol: Solution):
+            for mask in product(*[(True, False) if x in sol.maybe else (True,) for x in shared]):
+                df = sol.df
+                for x, bound in zip(shared, mask):
+                    if x in sol.maybe:
+                        df = df.where(_c(x).isNotNull() if bound else _c(x).isNull())
+                yield mask, df
+
+        parts = []
+        rights = [(mask, df.select(*[_c(x).alias("r_" + col_name(x)) for x in b.names])) for mask, df in split(b)]
+        for mask, left in split(a):
+            for other, right in rights:
+                keys = [x for x, p, q in zip(shared, mask, other) if p and q]
+                both = reduce(lambda c, x: c & (_c(x) == F.col("r_" + col_name(x))), keys[1:], _c(keys[0]) == F.col("r_" + col_name(keys[0]))) if keys else None
+                df = left.join(right, both) if keys else left.crossJoin(right)
+                columns = [F.coalesce(_c(x), F.col("r_" + col_name(x))) if x in shared else _c(x) if x in a.names else F.col("r_" + col_name(x)) for x in names]
+                parts.append(df.select(*[c.alias(col_name(x)) for c, x in zip(columns, names)]))
+        return reduce(DataFrame.union, parts)
+
     def on_join(self, node: Join) -> Solution:
         return self.join(self.compile(node.left), self.compile(node.right))
 
