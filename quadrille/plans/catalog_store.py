@@ -330,3 +330,30 @@ def shacl_class_by_subclass(spark, sf_dir):
     tbox = "c:Near rdfs:subClassOf c:Middle . c:Middle rdfs:subClassOf c:Place . " + " ".join(f"<urn:d:nation:{i}> a c:Near ." for i in range(10))
     data = quads(spark, sf_dir, ["customer"], [TYPE, "<urn:r:inNation>"]).union(graph(spark, tbox))
     return shacl.violations(data, parse_turtle(TURTLE + _CUST + "sh:path r:inNation ; sh:class c:Place ] ."), None).select(F.col("focusNode").alias("focus"))
+
+
+# --- load and validation over several tables ----------------------------------------------------------------------------
+
+_LOADED = {"orders": ("r:placedBy", "p:o_orderstatus", "p:o_totalprice", "p:o_orderdate", "p:o_orderpriority"), "customer": ("r:inNation", "p:c_name", "p:c_acctbal", "p:c_mktsegment"), "nation": ("r:inRegion", "p:n_name"), "region": ("p:r_name",)}
+
+
+@_register("load_tables", " UNION ALL ".join(f"SELECT '<urn:{p}>' AS p, count(*) AS n FROM {t}" for t, own in _LOADED.items() for p in own) + f" UNION ALL SELECT '{TYPE}', sum(n)::BIGINT FROM (" + " UNION ALL ".join(f"SELECT count(*) AS n FROM {t}" for t in _LOADED) + ")")
+def load_tables(spark, sf_dir):
+    """Four tables loaded into a store as quads; how many there are of each predicate."""
+    return GraphStore(spark, quads(spark, sf_dir, list(_LOADED))).quads.groupBy("p").agg(F.count("*").alias("n"))
+
+
+_FIVE = """d:C a sh:NodeShape ; sh:targetClass c:Customer ; sh:property [ sh:path p:c_mktsegment ; sh:in ( 'BUILDING' 'MACHINERY' ) ] , [ sh:path p:c_acctbal ; sh:minInclusive 0 ] ,
+[ sh:path [ sh:inversePath r:placedBy ] ; sh:minCount 1 ] . d:O a sh:NodeShape ; sh:targetClass c:Order ; sh:property [ sh:path p:o_totalprice ; sh:maxInclusive 300000 ] , [ sh:path p:o_orderstatus ; sh:pattern '^[FO]$' ] ."""
+
+
+@_register("shacl_five_shapes", """SELECT 'Value is not in the allowed sh:in list' AS message, count(*) AS n FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') HAVING count(*) > 0
+UNION ALL SELECT 'Value is less than 0 or not comparable', count(*) FROM customer WHERE CAST(c_acctbal AS DECIMAL(18,2)) < 0 HAVING count(*) > 0
+UNION ALL SELECT 'Less than 1 values on path (found 0)', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) HAVING count(*) > 0
+UNION ALL SELECT 'Value is greater than 300000 or not comparable', count(*) FROM orders WHERE CAST(o_totalprice AS DECIMAL(18,2)) > 300000 HAVING count(*) > 0
+UNION ALL SELECT 'Value does not match pattern "^[FO]$"', count(*) FROM orders WHERE NOT regexp_matches(o_orderstatus, '^[FO]$') HAVING count(*) > 0""")
+def shacl_five_shapes(spark, sf_dir):
+    """Five property shapes over customers and orders at once: results by message."""
+    predicates = [TYPE, "<urn:r:placedBy>", "<urn:p:c_mktsegment>", "<urn:p:c_acctbal>", "<urn:p:o_totalprice>", "<urn:p:o_orderstatus>"]
+    found = shacl.violations(quads(spark, sf_dir, ["customer", "orders"], predicates), parse_turtle(TURTLE + _FIVE), None)
+    return found.groupBy(F.col("resultMessage").alias("message")).agg(F.count("*").alias("n"))
