@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.vocab import TYPE, owl
 from . import lists
 from .owl_rules import SAME, THING, can_hold, number, of, restriction, typed
-from .reasoner import view, vocabulary
+from .reasoner import ask, vocabulary
 
 
 class ConsistencyError(ValueError):
@@ -36,7 +36,7 @@ def _shared(pairs: str) -> str:
 
 
 def _same(pairs: str) -> str:
-    return f"SELECT least(d.a, d.b) AS s, '{SAME}' AS p, greatest(d.a, d.b) AS o FROM {pairs} d JOIN {of(SAME)} e ON (e.s = d.a AND e.o = d.b) OR (e.s = d.b AND e.o = d.a) WHERE d.a <> d.b"
+    return f"SELECT least(d.a, d.b) AS s, '{SAME}' AS p, greatest(d.a, d.b) AS o FROM {pairs} d JOIN (SELECT DISTINCT least(s, o) AS a, greatest(s, o) AS b FROM {{u}} WHERE p = '{SAME}') e ON e.a = least(d.a, d.b) AND e.b = greatest(d.a, d.b) WHERE d.a <> d.b"
 
 
 def _negative(target: str, literal: bool) -> str:
@@ -101,7 +101,7 @@ def detect(u: DataFrame, name: str, l: DataFrame | None = None) -> DataFrame:
         text = DETECTORS[name]
         if "{l}" in text and l is None:
             l = lists.walk(u)  # noqa: E741
-        found = u.sparkSession.sql(text.format(u=view(u), l=view(l) if l is not None else ""))
+        found = ask(u.sparkSession, text, u=u, l=l)
     return found.select(F.lit(name).alias("rule"), "s", "p", "o").distinct()
 
 
