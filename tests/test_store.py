@@ -184,3 +184,111 @@ def test_every_detector_fires_in_the_joint_run(g):
 def test_disjoint_classes_of_either_form_are_found_in_the_joint_run(g, link):
     load(g, f":d a owl:AllDisjointClasses ; owl:{link} (:A :B :C) . :i a :A, :C .")
     assert [(v["rule"], v["s"], v["o"]) for v in json.loads(g.rdf_owl_rl_consistent(None, None))] == [("cax-adc", "<http://e/i>", "<http://e/A>")]
+
+
+def test_a_sequence_of_updates_is_atomic(g):
+    load(g, ":a :p 1 .")
+    for bad in ("LOAD <http://e/x>", "DROP GRAPH <urn:g:none>"):
+        with pytest.raises(ValueError):
+            g.sparql_update(P + "INSERT DATA { :a :p 2 } ; DELETE WHERE { :a :p 1 } ; CREATE GRAPH <urn:g:new> ; " + bad)
+        assert (g.rdf_count_all(), g.sparql_ask(P + "ASK { :a :p 1 }"), g.graphs) == (1, 1, set())
+
+
+def test_a_store_in_a_folder_opens_again(spark, tmp_path):
+    at = f"file://{tmp_path}/store"
+    a = GraphStore(spark, path=at)
+    load(a, ":a :p 1 , 2 .")
+    a.sparql_update("CREATE GRAPH <urn:g:x>")
+    b = GraphStore(spark, path=at)
+    assert (b.rdf_count_all(), b.graphs, b.version) == (2, {"<urn:g:x>"}, 2)
+    b.sparql_update(P + "DELETE WHERE { :a :p 1 }")
+    b.rdf_delete("http://e/none", "http://e/p", "http://e/o")  # changes nothing
+    assert GraphStore(spark, path=at).version == 3 and GraphStore(spark, path=at).rdf_count_all() == 1
+    with pytest.raises(RuntimeError, match="another writer"):
+        load(a, ":a :p 9 .")
+    assert a.rdf_count_all() == 2
+    b.rdf_clear()
+    assert GraphStore(spark, path=at).rdf_count_all() == 0
+
+
+def test_views_follow_the_store(g, spark):
+    g.create_views()
+    load(g, ":a :p 1 .")
+    assert spark.table("rdf_triples").count() == 1
+    g.sparql_update("CLEAR ALL")
+    assert spark.table("rdf_triples").count() == 0
+
+
+def test_ntriples_takes_no_turtle(g):
+    assert g.rdf_load_ntriples('# a comment\n\n<http://e/a> <http://e/p> "x\\n"^^<http://e/t> . # more\n_:b <http://e/p> << <http://e/a> <http://e/p> _:c >> .') == 2
+    for bad in ("@prefix : <http://e/> .", "<http://e/a> <http://e/p> 1 .", "<http://e/a> a <http://e/b> .", "<http://e/a> <http://e/p> <http://e/b> ; <http://e/q> <http://e/c> .", "<a> <http://e/p> <http://e/b> .", "'a' <http://e/p> <http://e/b> ."):
+        with pytest.raises(ValueError, match="RDF parse error"):
+            g.rdf_load_ntriples(bad)
+    assert g.rdf_count() == 2
+
+
+def test_term_functions_in_sql(spark):
+    from quadrille.operators.store import register
+
+    register(spark)
+    t = '<< << <http://e/a> <http://e/p> "x >" >> <http://e/q> "a >> b" >>'
+    row = spark.createDataFrame([(t,)], "t string").selectExpr("rdf_triple_subject(t)", "rdf_triple_predicate(t)", "rdf_triple_object(t)", "rdf_term_type(t)", "rdf_triple_subject('<a>')").first()
+    assert tuple(row) == ('<< <http://e/a> <http://e/p> "x >" >>', "<http://e/q>", '"a >> b"', "triple", None)
+    assert spark.sql("""SELECT rdf_term_value('"v"@en'), rdf_term_value('_:b'), rdf_term_type('_:b'), rdf_term_type('x')""").first()[:] == ("v", "b", "blank", "unknown")
+
+
+def test_lists_of_any_length_and_shape(spark):
+    from quadrille.functions.vocab import owl
+    from quadrille.operators.lists import FIRST, NIL, REST, walk
+
+    rows, want = [], set()
+    for name, n in (("a", 1), ("b", 2), ("c", 7), ("d", 8), ("e", 33)):
+        for i in range(n):
+            rows += [(f"<{name}{i}>", FIRST, f"<x{i % 5}>"), (f"<{name}{i}>", REST, f"<{name}{i + 1}>" if i + 1 < n else NIL)]
+            want.add((f"<{name}0>", i, f"<x{i % 5}>", n))
+        rows.append((f"<h{name}>", owl("unionOf"), f"<{name}0>"))
+    rows += [("<t0>", FIRST, "<x>"), ("<t0>", REST, "<c5>"), ("<ht>", owl("unionOf"), "<t0>")]  # a shared tail
+    want |= {("<t0>", 0, "<x>", 3), ("<t0>", 1, "<x0>", 3), ("<t0>", 2, "<x1>", 3)}
+    rows += [("<l0>", FIRST, "<x>"), ("<l0>", REST, "<l1>"), ("<l1>", FIRST, "<x>"), ("<l1>", REST, "<l0>"), ("<hl>", owl("unionOf"), "<l0>")]  # a cycle
+    rows += [("<m0>", FIRST, "<x>"), ("<m0>", FIRST, "<y>"), ("<m0>", REST, NIL), ("<hm>", owl("unionOf"), "<m0>"), ("<n0>", FIRST, "<x>"), ("<hn>", owl("unionOf"), "<n0>"), ("<ho>", owl("unionOf"), NIL)]
+    assert {tuple(r) for r in walk(spark.createDataFrame(rows, "s string, p string, o string")).collect()} == want
+
+
+def test_rounds_on_the_newest_triples_find_what_full_rounds_find(g, spark):
+    from quadrille.operators import reasoner
+    from quadrille.operators.owl_rules import REFLEXIVE, RULES
+
+    load(g, """:A rdfs:subClassOf :B . :B owl:equivalentClass :C . :C rdfs:subClassOf [ a owl:Restriction ; owl:onProperty :p ; owl:someValuesFrom :D ] . :D owl:intersectionOf ( :E :F ) .
+        :p rdfs:subPropertyOf :q . :q a owl:TransitiveProperty ; rdfs:domain :E ; rdfs:range :F . :r owl:inverseOf :q . :s a owl:SymmetricProperty , owl:FunctionalProperty . :t owl:propertyChainAxiom ( :p :s ) .
+        :a a :A ; :p :b . :b :p :c ; :s :d , :e . :c a :E , :F . :k owl:hasValue :v ; owl:onProperty :q . :z a :k . :e :p :a . :G owl:unionOf ( :A :E ) .""")
+    u = g.quads.select("s", "p", "o")
+    names = [n for n in RULES if (RULES[n] or n == "prp-spo2") and n not in REFLEXIVE]
+    full = {tuple(r) for r in u.collect()}
+    while True:
+        df = spark.createDataFrame(sorted(full), "s string, p string, o string")
+        parts = [reasoner.rule(spark, n, df).select("s", "p", "o") for n in names if reasoner.needs(RULES[n]) <= reasoner.vocabulary(df)]
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.union(x)
+        more = {tuple(r) for r in out.distinct().collect()} - full
+        if not more:
+            break
+        full |= more
+    result = reasoner.materialise(g.quads, g.quads.limit(0))
+    assert {tuple(r) for r in result.new.union(u).distinct().collect()} == full and result.rounds > 3
+
+
+def test_unbound_variables_meet_by_equality_where_they_are_bound(g):
+    load(g, ":a :k 1 ; :m 'x' . :b :k 2 . :c :k 3 ; :m 'y' . :d :w 'x' . :e :w 'z' . :f :k 1 .")
+    q = P + "SELECT ?s ?m ?t { ?s :k ?k OPTIONAL { ?s :m ?m } { ?t :w ?m } }"
+    assert sorted((r["s"], r["m"], r["t"]) for r in g.sparql(q).collect()) == sorted([("<http://e/a>", '"x"', "<http://e/d>")] + [(f"<http://e/{s}>", m, f"<http://e/{t}>") for s in "bf" for t, m in (("d", '"x"'), ("e", '"z"'))])
+    q = P + "SELECT ?s { ?s :k ?k OPTIONAL { ?s :m ?m } MINUS { ?s :k ?k OPTIONAL { ?s :none ?m } FILTER(?k < 3) } }"
+    assert [r["s"] for r in g.sparql(q).collect()] == ["<http://e/c>"]
+    q = P + "SELECT ?s { ?s :k ?k OPTIONAL { ?s :m ?m } FILTER(?k = 3 || EXISTS { ?t :w ?m }) }"
+    assert sorted(r["s"] for r in g.sparql(q).collect()) == [f"<http://e/{x}>" for x in "abcf"]
+
+
+def test_order_beyond_doubles(g):
+    load(g, ":a :n 9007199254740993 . :b :n 9007199254740992 . :c :n -9007199254740993 . :d :n -9007199254740992 .")
+    assert [r["s"][10] for r in g.sparql(P + "SELECT ?s { ?s :n ?n } ORDER BY ?n").collect()] == list("cdba")
+    assert g.sparql(P + "SELECT (MAX(?n) AS ?m) { ?s :n ?n }").first()["m"].startswith('"9007199254740993"')
