@@ -18,7 +18,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -207,7 +207,7 @@ class Merges:
     """The library's own ids of a BPE model, of runs of characters that no piece leaves; words are encoded once and kept, found
     by 64-bit hashes of their bytes."""
 
-    def __init__(self, path: str, cap: int = 250_000):
+    def __init__(self, path: str, cap: int = 80_000):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
 
@@ -367,6 +367,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_i
         if not own.plain:
             raise ValueError("a model that changes texts before its merges")
         return _encode_merges(docs, path, chunk, with_ids)
+    import pandas as pd
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)
@@ -461,17 +462,26 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_i
     return small.unionByName(common.materialise(large_rows, "pieces-large")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
+def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    columns = zip(*rows) if rows else [()] * len(schema.split(", "))
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.record_batch([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
 def _encode_merges(docs: DataFrame, path: str, chunk: int, with_ids: bool) -> DataFrame:
     """encode() of a BPE model: chunks of giant documents are encoded apart, then put in order by row."""
     spark = docs.sparkSession
-    names = ["row", "doc_id", "n_tokens", "ids_crc32", "score", "n_chunks", "round_trip", "ids", "chunk", "piece"]
+    cut_schema = f"row long, {_DIGEST}, ids binary, chunk long, piece string"
+    part_schema = "row long, doc_id string, n_chunks long, round_trip boolean, chunk long, ids binary, score double"
+    digest = _DIGEST + (", ids binary" if with_ids else "")
 
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, plain = both(path)
-        for b in batches:
-            out = []
-            raws = iter(m.many([m.text(t) for t in b["text"] if len(t) <= chunk]))
-            for row, doc_id, text in zip(b["row"], b["doc_id"], b["text"]):
+        for b in common.slices(batches, 256):
+            out, texts = [], b.column("text").to_pylist()
+            raws = iter(m.many([m.text(t) for t in texts if len(t) <= chunk]))
+            for row, doc_id, text in zip(b.column("row").to_pylist(), b.column("doc_id").to_pylist(), texts):
                 if len(text) <= chunk:
                     raw = next(raws)
                     ids = np.frombuffer(raw, "<u2")
@@ -483,30 +493,30 @@ def _encode_merges(docs: DataFrame, path: str, chunk: int, with_ids: bool) -> Da
                 for k, (at, end) in enumerate(zip([0, *ends], ends)):
                     out.append((row, doc_id, None, None, None, len(ends), "\u2581" not in text, None, k, seen[at:end]))
                     if len(out) >= 256:
-                        yield pd.DataFrame(out, columns=names)
+                        yield _rows(out, cut_schema)
                         out = []
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield _rows(out, cut_schema)
 
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = common.materialise(texts.mapInPandas(first, "row long, " + _DIGEST + ", ids binary, chunk long, piece string"), "pieces-first")
+    rows = common.materialise(texts.mapInArrow(first, cut_schema), "pieces-first")
     small = rows.where("chunk IS NULL").select(*[c.split()[0] for c in _DIGEST.split(", ")], *["ids"] * with_ids)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, plain = both(path)
-        for b in batches:
-            raws = m.many(b["piece"].tolist())
-            ids = [np.frombuffer(r, "<u2") for r in raws]
-            sound = [ok and plain.spelt(x) == p.encode("utf-8", "surrogatepass") for ok, x, p in zip(b["round_trip"], ids, b["piece"])]
-            yield b.drop(columns="piece").assign(ids=raws, score=[float(m.scores[x].sum()) for x in ids], round_trip=sound)
-
-    def join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in common.slices(batches, 64):
+            pieces = b.column("piece").to_pylist()
+            ids = [np.frombuffer(r, "<u2") for r in m.many(pieces)]
+            sound = [ok and plain.spelt(x) == p.encode("utf-8", "surrogatepass") for ok, x, p in zip(b.column("round_trip").to_pylist(), ids, pieces)]
+            own = [b.column(c).to_pylist() for c in ("row", "doc_id", "n_chunks")]
+            yield _rows(list(zip(*own, sound, b.column("chunk").to_pylist(), [x.tobytes() for x in ids], [float(m.scores[x].sum()) for x in ids])), part_schema)
+
+    def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chunks of a document arrive in order; sums and checksums run on, so only with_ids holds a document whole."""
         now, state = None, None
-        columns = ["doc_id", "n_tokens", "ids_crc32", "score", "n_chunks", "round_trip", *["ids"] * with_ids]
-        done = lambda s: pd.DataFrame([(*s[:6], *[b"".join(s[6])] * with_ids)], columns=columns)
-        for b in batches:
-            for row, doc_id, chunks, score, raw, sound in zip(b["row"], b["doc_id"], b["n_chunks"], b["score"], b["ids"], b["round_trip"]):
+        done = lambda s: _rows([(*s[:6], *[b"".join(s[6])] * with_ids)], digest)
+        for b in common.slices(batches, 64):
+            for row, doc_id, chunks, score, raw, sound in zip(*(b.column(c).to_pylist() for c in ("row", "doc_id", "n_chunks", "score", "ids", "round_trip"))):
                 if row != now:
                     if state is not None:
                         yield done(state)
@@ -523,8 +533,8 @@ def _encode_merges(docs: DataFrame, path: str, chunk: int, with_ids: bool) -> Da
 
     n = common.parallelism(spark)
     large = rows.where("chunk IS NOT NULL").select("row", "doc_id", "n_chunks", "round_trip", "chunk", "piece").repartition(n, "row", "chunk")
-    encoded = large.mapInPandas(run, "row long, doc_id string, n_chunks long, round_trip boolean, chunk long, ids binary, score double")
-    large_rows = encoded.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInPandas(join_up, _DIGEST + (", ids binary" if with_ids else ""))
+    encoded = large.mapInArrow(run, part_schema)
+    large_rows = encoded.repartition(n, "row").sortWithinPartitions("row", "chunk").mapInArrow(join_up, digest)
     return small.unionByName(common.materialise(large_rows, "pieces-large")).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
@@ -533,6 +543,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     aren't UTF-8 become U+FFFD."""
     common.ship(rows.sparkSession)
     path = path or vocabulary_path(MODEL)
+    import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)

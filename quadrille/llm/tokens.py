@@ -164,7 +164,7 @@ class CachedEncoder:
     Ids are those of the library's plain call, which takes the string of a special token in a text for that token.
     """
 
-    def __init__(self, path: str, cap: int = 250_000):
+    def __init__(self, path: str, cap: int = 120_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers
         from tokenizers import pre_tokenizers as cutters
