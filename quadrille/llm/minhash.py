@@ -287,8 +287,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512, block_
     what is linked; `kept` holds for all of a component that bear its smallest doc_id, `first` for those of them with
     one set of shingles. An empty table gives an empty result; ties can't arise, as sets' prints order all choices.
 
-    Candidates share a band. Each is first compared with one leader of its band, chunk by chunk, which is linear in the
-    size of a group and links all of a group of mutual near copies. Only in bands whose members are still in different
+    Candidates share a band. Each is first compared with one leader of its band, the member that shares most bands, as an
+    original does with its copies; chunk by chunk, so this is linear in the size of a group and links all copies of it. Only in bands whose members are still in different
     components are those outside of the largest one compared with all others, block by block.
     """
     spark = docs.sparkSession
@@ -299,9 +299,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512, block_
     classes = classes.agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     classes = common.materialise(classes.select(F.col("print").alias("node"), "at.doc_id", "at.text_hash", "copies", "n", "keys"), "minhash-classes")
     bands = classes.select("node", "n", F.explode("keys").alias("g"))
-    shared = bands.groupBy("g").agg(F.count("*").alias("m"), F.min("node").alias("leader"), F.max("n").alias("most")).where("m > 1")
-    shared = common.materialise(shared, "minhash-shared")
-    members = common.materialise(bands.join(shared, "g"), "minhash-members")
+    shared = bands.groupBy("g").agg(F.count("*").alias("m"), F.max("n").alias("most")).where("m > 1")
+    members = common.materialise(bands.join(common.materialise(shared, "minhash-shared"), "g"), "minhash-bands")
+    mass = common.materialise(members.groupBy("node").agg(F.sum("m").alias("mass")), "minhash-mass")
+    shared = members.join(mass, "node").groupBy("g").agg(F.max(F.struct("mass", "node")).alias("top"), F.first("m").alias("m"), F.first("most").alias("most"))
+    shared = common.materialise(shared.select("g", F.col("top.node").alias("leader"), "m", "most"), "minhash-shared")
+    members = common.materialise(members.select("g", "node", "n").join(shared, "g"), "minhash-members")
 
     def blocks(m: str, most: str):
         return F.ceil(F.col(m) / F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(block_shingles) / F.col(most)))))
