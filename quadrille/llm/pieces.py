@@ -319,29 +319,24 @@ def maxplus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
 
 
-def states(matrices: np.ndarray, block: int = 64) -> np.ndarray:
-    """State at every cut of a document, its start and end (both 0) included, from its chunks' matrices in order.
-
-    Products over blocks are combined first; only then are prefixes inside blocks.
-    """
-    n = len(matrices)
-    start = np.full(matrices.shape[1], _LOW)
-    start[0] = 0.0
-    entry = []  # best scores at the start of each block
-    for at in range(0, n, block):
-        entry.append(start)
-        total = matrices[at]
-        for m in matrices[at + 1 : at + block]:
-            total = maxplus(total, m)
-        start = (start[:, None] + total).max(axis=0)
-    out = np.zeros(n + 1, dtype=np.int64)
-    for b in range(len(entry) - 1, -1, -1):
-        at, end = b * block, min(n, (b + 1) * block)
-        reach = [entry[b]]
-        for k in range(at, end):
-            reach.append((reach[-1][:, None] + matrices[k]).max(axis=0))
-        for k in range(end - 1, at - 1, -1):
-            out[k] = int((reach[k - at] + matrices[k][:, out[k + 1]]).argmax())
+def product(matrices: np.ndarray) -> np.ndarray:
+    """The max-plus product of matrices in order, by halves."""
+    while len(matrices) > 1:
+        half = maxplus(matrices[0 : len(matrices) // 2 * 2 : 2], matrices[1::2])
+        matrices = np.concatenate((half, matrices[-1:])) if len(matrices) % 2 else half
+    return matrices[0]
+
+
+def states(matrices: np.ndarray, entry: int = 0, exit_: int = 0) -> np.ndarray:
+    """State at every cut of a run of chunks, `entry` at its start and `exit_` at its end included, from their matrices."""
+    reach = [np.full(matrices.shape[1], _LOW)]
+    reach[0][entry] = 0.0
+    for m in matrices:
+        reach.append((reach[-1][:, None] + m).max(axis=0))
+    out = np.zeros(len(matrices) + 1, dtype=np.int64)
+    out[0], out[-1] = entry, exit_
+    for k in range(len(matrices) - 1, 0, -1):
+        out[k] = int((reach[k] + matrices[k][:, out[k + 1]]).argmax())
     return out
 
 
@@ -350,12 +345,13 @@ def model(path: str) -> Pieces:
     return common.worker_cache(path, lambda: Pieces(path))
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_ids: bool = False) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_ids: bool = False, block: int = 64) -> DataFrame:
     """docs(doc_id, text): doc_id, n_tokens, ids_crc32 (of little-endian 32-bit ids), score, n_chunks, round_trip (and ids).
 
     Ids are those of the library. Of a BPE model they are its merges and the score is the sum of their ranks, else the
-    segmentation of greatest score by the scan. A null text is an empty one, without ids (a lone space to the scan). Texts above `chunk` characters are cut into chunks, others are one
-    chunk. round_trip tells whether the ids decode to the text; it is false only for texts that hold U+2581 themselves.
+    segmentation of greatest score by the scan. A null text is an empty one, without ids (a lone space to the scan). Texts above
+    `chunk` characters are cut into chunks, others are one chunk. The scan combines the matrices of `block` chunks in a task,
+    then those of a document's blocks, and goes back into every block on its own. round_trip tells whether the ids decode to the text; it is false only for texts that hold U+2581 themselves.
     Rows that repeat a doc_id are encoded each.
     """
     spark = docs.sparkSession
@@ -406,15 +402,33 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = 32_768, with_i
     large = rows.where("chunk IS NOT NULL")
     spread = large.select("row", "doc_id", "chunk", "n_chunks", "size", "piece").repartition(n, "row", "chunk")
 
+    def stack(column) -> np.ndarray:
+        side = int((len(column.iloc[0]) // 8) ** 0.5)
+        return np.stack([np.frombuffer(x, "<f8").reshape(side, side) for x in column])
+
+    def combine(g: pd.DataFrame) -> pd.DataFrame:
+        """The product of a block's matrices."""
+        g = g.sort_values("chunk")
+        return pd.DataFrame({"row": g["row"].iloc[:1], "block": g["block"].iloc[:1], "matrix": [product(stack(g["matrix"])).astype("<f8").tobytes()]})
+
     def scan(g: pd.DataFrame) -> pd.DataFrame:
+        """States at the ends of a document's blocks."""
+        g = g.sort_values("block")
+        at = states(stack(g["matrix"]))
+        return pd.DataFrame({"row": g["row"], "block": g["block"], "enter": at[:-1], "leave": at[1:]})
+
+    def inside(g: pd.DataFrame) -> pd.DataFrame:
+        """States at the cuts within a block, given those at its ends."""
         g = g.sort_values("chunk")
-        side = int((len(g["matrix"].iloc[0]) // 8) ** 0.5)
-        m = np.stack([np.frombuffer(x, "<f8").reshape(side, side) for x in g["matrix"]])
-        at = states(m)
+        m = stack(g["matrix"])
+        at = states(m, int(g["enter"].iloc[0]), int(g["leave"].iloc[0]))
         score = [float(m[k, at[k], at[k + 1]]) for k in range(len(m))]
         return pd.DataFrame({"row": g["row"], "chunk": g["chunk"], "entry": at[:-1], "exit": at[1:], "part_score": score})
 
-    cuts = spread.select("row", "chunk", "size", "piece").mapInPandas(matrices, "row long, chunk long, matrix binary").groupBy("row").applyInPandas(scan, "row long, chunk long, entry long, exit long, part_score double")
+    cells = spread.select("row", "chunk", "size", "piece").mapInPandas(matrices, "row long, chunk long, matrix binary")
+    cells = common.materialise(cells.withColumn("block", F.floor(F.col("chunk") / block).cast("long")), "pieces-matrices")
+    ends = cells.groupBy("row", "block").applyInPandas(combine, "row long, block long, matrix binary").groupBy("row").applyInPandas(scan, "row long, block long, enter long, leave long")
+    cuts = cells.join(ends, ["row", "block"]).groupBy("row", "block").applyInPandas(inside, "row long, chunk long, entry long, exit long, part_score double")
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model(path)

@@ -167,7 +167,7 @@ def test_op2_edges(docs_of):
 
 
 def test_op3_scan_equals_one_pass_and_decodes(docs_of):
-    from quadrille.llm.pieces import MODEL, Pieces, decode, encode, states
+    from quadrille.llm.pieces import MODEL, Pieces, decode, encode, product, states
     from quadrille.llm.tokens import vocabulary_path
 
     m = Pieces(vocabulary_path(MODEL))
@@ -177,7 +177,8 @@ def test_op3_scan_equals_one_pass_and_decodes(docs_of):
         size = int(rng.choice([1, 3, 7, 20, 50]))
         parts = [(text[k : k + size + m.longest - 1], min(size, len(text) - k)) for k in range(0, len(text), size)]
         matrices = np.stack([m.transfer(p, n) for p, n in parts])
-        at = states(matrices, block=3)
+        ends = states(np.stack([product(matrices[k : k + 3]) for k in range(0, len(matrices), 3)]))
+        at = np.concatenate([states(matrices[k : k + 3], ends[k // 3], ends[k // 3 + 1])[:-1] for k in range(0, len(matrices), 3)] + [[0]])
         ids = b"".join(m.trace(p, n, at[k], at[k + 1]) for k, (p, n) in enumerate(parts))
         score = sum(matrices[k, at[k], at[k + 1]] for k in range(len(parts)))
         assert score == pytest.approx(m.best(text, 0, len(text), len(text))[0]) == pytest.approx(m.whole(text)[1])
@@ -188,6 +189,31 @@ def test_op3_scan_equals_one_pass_and_decodes(docs_of):
     assert {r["doc_id"]: r["text"] for r in decode(found).collect()} == {d: t or "" for d, t in rows}
 
 
+def test_op3_scan_over_tasks_equals_one_pass(docs_of, tmp_path):
+    """The public pieces as a model whose scores add up, in chunks whose matrices meet block by block."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    from quadrille.llm.pieces import MODEL, Pieces, encode
+    from quadrille.llm.tokens import vocabulary_path
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(vocabulary_path(MODEL), "rb") as f:
+        proto.ParseFromString(f.read())
+    proto.trainer_spec.model_type = sentencepiece_model_pb2.TrainerSpec.UNIGRAM
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(proto.SerializeToString())
+    m = Pieces(path)
+    rows = [(1, "international things are there " * 30), (2, "short"), (3, None), (4, "x" * 400), (BIG, "no spaces" * 50), (None, "日本 naïve" * 40)]
+    got = {r["doc_id"]: r for r in encode(docs_of(rows), path=path, chunk=40, with_ids=True, block=3).collect()}
+    for d, t in rows:
+        text = " " + (t or "")
+        score, ids = m.best(text, 0, len(text), len(text))
+        own = np.frombuffer(got[d]["ids"], "<u2")
+        assert got[d]["score"] == pytest.approx(score) and got[d]["round_trip"]
+        assert m.decode(own).decode() == (t or "") and got[d]["n_tokens"] == len(own)
+
+
 def test_op3_equals_the_library(docs_of):
     import sentencepiece
 
