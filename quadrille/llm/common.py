@@ -62,9 +62,13 @@ def hadoop_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    fs, path_of = hadoop_fs(spark, path)
-    fs.delete(path_of(path), True)
+def drop(*tables: DataFrame | None) -> None:
+    """Delete what materialise() wrote, once nothing reads it any more; other DataFrames are left alone."""
+    for df in tables:
+        path = df.__dict__.get("_written_at") if df is not None else None
+        if path:
+            fs, path_of = hadoop_fs(df.sparkSession, path)
+            fs.delete(path_of(path), True)
 
 
 @contextmanager
@@ -86,7 +90,9 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
     writer = df.write.option("compression", compression) if compression else df.write
     with small_batches(spark):
         writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_at"] = path
+    return out
 
 
 def read_columns(spark: SparkSession, sf_dir: str, table: str, columns: list[str]) -> DataFrame:

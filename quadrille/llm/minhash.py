@@ -152,7 +152,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of edges(u, v); root is the smallest node reachable.
 
     Alternating large-star and small-star steps; each round's edges are written to the shared folder, so that lineage
-    stays short and lost executors cost no more than a round. The least neighbours are written before they are joined:
+    stays short and lost executors cost no more than a round, and are deleted when the next ones are there. The least neighbours are written before they are joined:
     a join of two plain exchanges is one that adaptive execution can split where a node has very many edges. Only a
     count and a checksum reach the driver.
     """
@@ -164,7 +164,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = common.materialise(small.union(small_low.select("u", F.col("m").alias("v"))).distinct(), name)
+        before, now = now, common.materialise(small.union(small_low.select("u", F.col("m").alias("v"))).distinct(), name)
+        common.drop(low, before)
         state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if state == seen:
             break
