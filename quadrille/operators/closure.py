@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from .durable import cut
+from .durable import cut, drop
 
 
 def transitive(edges: DataFrame, within: list[str] = ()) -> DataFrame:
@@ -20,10 +20,13 @@ def transitive(edges: DataFrame, within: list[str] = ()) -> DataFrame:
     new = pairs
     while True:
         found = hop(new, pairs).union(hop(pairs, new)).distinct()
-        new = cut(found.join(pairs, keys, "left_anti").select(*keys))
+        before, new = new, cut(found.join(pairs, keys, "left_anti").select(*keys))
+        if before is not pairs:
+            drop(before)
         if new.isEmpty():
             return pairs
-        pairs = cut(pairs.union(new))
+        before, pairs = pairs, cut(pairs.union(new))
+        drop(before)
 
 
 def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
@@ -37,4 +40,5 @@ def reachable(seeds: DataFrame, edges: DataFrame) -> DataFrame:
         frontier = cut(step)
         if frontier.isEmpty():
             return seen if seen is not None else frontier
-        seen = frontier if seen is None else cut(seen.union(frontier))
+        before, seen = seen, frontier if seen is None else cut(seen.union(frontier))
+        drop(before)

@@ -29,7 +29,19 @@ def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = folder or f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if not folder:
+        out.__dict__["_written_at"] = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete what cut() wrote to a folder of its own, once nothing reads it any more."""
+    for df in tables:
+        path = df.__dict__.get("_written_at") if df is not None else None
+        if path:
+            fs, p = _path(df.sparkSession, path)
+            fs.delete(p, True)
 
 
 def _path(spark: SparkSession, path: str):
