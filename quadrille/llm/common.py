@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -151,19 +153,21 @@ def prefix_sums(df: DataFrame, key: str, values: list[str], within: list[str] =
 _WORKER: dict[str, object] = {}
 
 
+def trim() -> None:
+    """Give memory that is free back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: its allocator decides
+        pass
+
+
 def worker_cache(name: str, make):
     """What a Python worker keeps between tasks, one operator's at a time: Spark reuses workers from stage to stage, and
-    what an earlier stage kept would add up. Dropped memory goes back to the system."""
+    what an earlier stage kept would add up."""
     if name not in _WORKER:
         if _WORKER:
-            import ctypes
-            import gc
-
             _WORKER.clear()
-            gc.collect()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except OSError:  # another C library: its allocator decides
-                pass
+            trim()
         _WORKER[name] = make()
     return _WORKER[name]

@@ -243,7 +243,10 @@ def train(docs: DataFrame, per_language: int = 300, chars: int = 6_000_000) -> L
     for r in rows.where(F.array_contains(ids, F.col("h"))).toLocalIterator():
         if (r["lang"], r["h"], r["doc_id"], r["n"]) in wanted:
             sample.setdefault(r["lang"], []).append((r["h"], r["doc_id"], r["text"]))
-    return fit({lang: [t for _, _, t in sorted(found)[:per_language]] for lang, found in sample.items()})
+    model = fit({lang: [t for _, _, t in sorted(found)[:per_language]] for lang, found in sample.items()})
+    del sample, wanted
+    common.trim()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
