@@ -255,7 +255,7 @@ def test_lists_of_any_length_and_shape(spark):
 
 
 def test_rounds_on_the_newest_triples_find_what_full_rounds_find(g, spark):
-    from quadrille.operators import reasoner
+    from quadrille.operators import lists, reasoner
     from quadrille.operators.owl_rules import REFLEXIVE, RULES
 
     load(g, """:A rdfs:subClassOf :B . :B owl:equivalentClass :C . :C rdfs:subClassOf [ a owl:Restriction ; owl:onProperty :p ; owl:someValuesFrom :D ] . :D owl:intersectionOf ( :E :F ) .
@@ -266,7 +266,8 @@ def test_rounds_on_the_newest_triples_find_what_full_rounds_find(g, spark):
     full = {tuple(r) for r in u.collect()}
     while True:
         df = spark.createDataFrame(sorted(full), "s string, p string, o string")
-        parts = [reasoner.rule(spark, n, df).select("s", "p", "o") for n in names if reasoner.needs(RULES[n]) <= reasoner.vocabulary(df)]
+        own, there = lists.walk(df), reasoner.vocabulary(df)
+        parts = [reasoner.rule(spark, n, df, own).select("s", "p", "o") for n in names if reasoner.needs(RULES[n]) <= there]
         out = parts[0]
         for x in parts[1:]:
             out = out.union(x)
