@@ -255,7 +255,9 @@ def _crossed(members: DataFrame, texts: DataFrame, percent: int, block: int, blo
         """By group: its largest component, the members in others (k), numbers of blocks of both, rows that tasks would read."""
         per = groups.groupBy("g", "root").agg(F.count("*").alias("c"), F.max("n").alias("most")).groupBy("g")
         per = per.agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("m"), F.max("most").alias("most"))
-        size = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(block_shingles) / F.col("most"))))
+        # a quarter of a block in small groups, so that these too are dealt to many tasks
+        texts = F.least(F.lit(block), F.greatest(F.lit(-(-block // 4)), F.ceil(F.col("m") / 32)))
+        size = F.greatest(F.lit(1), F.least(texts, F.floor(F.lit(block_shingles) / F.col("most"))))
         per = per.select("g", F.col("top.root").alias("main"), (F.col("m") - F.col("top.c")).alias("k"), F.col("top.c").alias("c"), size.alias("size"))
         per = per.withColumns({"nk": F.ceil(F.col("k") / F.col("size")).cast("int"), "nc": F.ceil(F.col("c") / F.col("size")).cast("int")})
         return per.withColumn("cost", F.col("k") * (F.col("nk") + F.col("nc")) + F.col("c") * F.col("nk"))
