@@ -175,7 +175,10 @@ def instances(data: DataFrame, cls: str) -> DataFrame:
 
 
 def check(data: DataFrame, focus: DataFrame, values: DataFrame, ps: PropertyShape, shapes: Shapes) -> list[DataFrame]:
-    """Violations of every constraint of a property shape, in the fixed order of components."""
+    """Violations of every constraint of a property shape, in the fixed order of components.
+
+    Messages are fixed values: consumers of reports compare them.
+    """
     g, out = ps.given, []
 
     def add(rows: DataFrame, component: str, message, value: bool = True) -> None:
