@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
@@ -284,8 +284,11 @@ class GraphStore:
         return self._lines(run(self.source(), self._form(text, ("CONSTRUCT", "DESCRIBE"), "sparql_construct")))
 
     @staticmethod
-    def _lines(df: DataFrame) -> str:
-        return "".join(f"{r['s']} {r['p']} {r['o']} .\n" for r in df.collect())
+    def _line() -> Column:
+        return F.concat_ws(" ", "s", "p", "o", F.lit(".\n")).alias("line")
+
+    def _lines(self, df: DataFrame) -> str:
+        return "".join(df.select(self._line()).toArrow()["line"].to_pylist())
 
     def rdf_construct_many(self, text: str) -> str:
         queries = json.loads(text)
@@ -301,15 +304,16 @@ class GraphStore:
         for i, q in enumerate(parsed):
             if q.form not in ("CONSTRUCT", "DESCRIBE"):
                 raise SparqlError(f"SPARQL evaluation error (query index {i}): expected CONSTRUCT")
-            parts.append(run(self.source(), q).select(F.lit(i).alias("i"), "s", "p", "o"))
-        out = [""] * len(parsed)
+            parts.append(run(self.source(), q).select(F.lit(i).alias("i"), self._line()))
+        out: list[list[str]] = [[] for _ in parsed]  # joined once: adding to a text copies all of it
         if parts:
             every = parts[0]
             for p in parts[1:]:
                 every = every.union(p)
-            for r in every.collect():
-                out[r["i"]] += f"{r['s']} {r['p']} {r['o']} .\n"
-        return json.dumps(out, ensure_ascii=False)
+            for b in every.toArrow().to_batches():
+                for i, line in zip(b.column("i").to_pylist(), b.column("line").to_pylist()):
+                    out[i].append(line)
+        return json.dumps(["".join(x) for x in out], ensure_ascii=False)
 
     # updates
 
