@@ -31,7 +31,7 @@ class ShaclError(ValueError):
 
 @dataclass
 class Options:
-    max_violations: int = 10_000
+    max_violations: int | None = 10_000  # more are an error; None: no limit
     provenance: bool = False
     # fixed values: consumers of reports look for these IRIs
     reported_by_iri: str = "urn:semantica:shacl:reportedBy"

@@ -302,7 +302,7 @@ def shacl_report_details(spark, sf_dir):
     shapes = TURTLE + "d:S a sh:NodeShape ; sh:targetClass c:Customer ; sh:property d:S1 . d:S1 sh:path r:inNation ; sh:severity sh:Warning ; sh:hasValue <urn:d:nation:3> ."
     g = GraphStore(spark, quads(spark, sf_dir, ["customer"], [TYPE, "<urn:r:inNation>"]))
     g.rdf_load_turtle_to_graph(shapes, "urn:g:shapes")
-    g.rdf_shacl_core_validate(None, "urn:g:shapes", "urn:g:report")
+    g.rdf_shacl_core_validate(None, "urn:g:shapes", "urn:g:report", {"max_violations": None})  # every result, however many
     q = "SELECT ?shape ?severity ?component (COUNT(*) AS ?n) { GRAPH <urn:g:report> { ?r sh:sourceShape ?shape ; sh:resultSeverity ?severity ; sh:sourceConstraintComponent ?component ; sh:focusNode ?f } } GROUP BY ?shape ?severity ?component"
     return typed(g.sparql(PREFIX + q), "shape:term severity:term component:term n:long")
 

@@ -4,7 +4,10 @@ import time
 import pytest
 
 from quadrille.functions.terms import TermError
+from quadrille.functions.vocab import TYPE
 from quadrille.operators.store import GraphStore
+from quadrille.plans.catalog_store import QUERIES
+from quadrille.sources.triplify import quads
 
 E = "http://e/"
 P = "PREFIX : <http://e/> "
@@ -187,6 +190,17 @@ def test_shacl(g):
     assert g.sparql_ask("PREFIX sh: <http://www.w3.org/ns/shacl#> ASK { GRAPH <urn:g:r> { ?r sh:conforms false } }") == 1
 
 
+def test_report_of_more_results_than_the_guard_allows(spark, tmp_path):
+    """The guard's default holds for calls that don't lift it; the registered query reports all results."""
+    spark.range(10_600).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "CAST(id % 25 AS INT) AS c_nationkey", "0D AS c_acctbal", "'BUILDING' AS c_mktsegment").write.parquet(f"{tmp_path}/customer.parquet")
+    assert [r["n"] for r in QUERIES["shacl_report_details"](spark, str(tmp_path)).collect()] == [10_600 * 24 // 25]
+    g = GraphStore(spark, quads(spark, str(tmp_path), ["customer"], [TYPE, "<urn:r:inNation>"]))
+    load(g, ':S a sh:NodeShape ; sh:targetClass <urn:c:Customer> ; sh:property [ sh:path <urn:r:inNation> ; sh:hasValue 3 ] .', "urn:g:s")
+    with pytest.raises(ValueError, match="max_violations"):
+        g.rdf_shacl_core_validate(None, "urn:g:s", "urn:g:r")
+    assert g.rdf_count("urn:g:r") == 0
+
+
 def test_every_detector_fires_in_the_joint_run(g):
     load(g, 'd:x a owl:Nothing . :C owl:maxQualifiedCardinality 0 ; owl:onProperty :p ; owl:onClass owl:Thing . :i a :C ; :p :j .'.replace("d:x", ":x"))
     assert [v["rule"] for v in json.loads(g.rdf_owl_rl_consistent(None, None))] == ["cls-maxqc2", "cls-nothing2"]
