@@ -21,6 +21,10 @@ from . import common
 DOMAIN_BITS = 20
 BANDS, ROWS = 32, 6
 WORDS = 5
+#: Edges that one task joins; as Python objects some 100 MB.
+SMALL_GRAPH = 200_000
+#: Input for which a task writes a table of groups.
+TABLE_BYTES = 16 << 20
 
 _U = np.uint64
 
@@ -148,28 +152,55 @@ def _sketch(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_shingles long, print binary, keys array<long>")
 
 
-def components(edges: DataFrame, name: str) -> DataFrame:
+def _joined(edges: DataFrame) -> DataFrame:
+    """(node, root) of edges(u, v) by union and find in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def root(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for b in batches:
+            for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist()):
+                if u != v:
+                    x, y = root(parent.setdefault(u, u)), root(parent.setdefault(v, v))
+                    parent[max(x, y)] = min(x, y)
+        kind = b.schema.field("u").type if parent else pa.binary()
+        nodes = list(parent)
+        for at in range(0, len(nodes), 10_000):
+            some = nodes[at : at + 10_000]
+            yield pa.record_batch([pa.array(some, kind), pa.array([root(x) for x in some], kind)], ["node", "root"])
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"node {kind}, root {kind}")
+
+
+def components(edges: DataFrame, name: str, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, root) for every node of edges(u, v); root is the smallest node reachable.
 
-    Alternating large-star and small-star steps; each round's edges are written to the shared folder, so that lineage
+    At most `small` edges are joined by one task, as rounds cost more than their work. More take alternating large-star and
+    small-star steps, until no node has a smaller neighbour and another one; each round's edges are written to the shared folder, so that lineage
     stays short and lost executors cost no more than a round, and are deleted when the next ones are there. The least neighbours are written before they are joined:
-    a join of two plain exchanges is one that adaptive execution can split where a node has very many edges. Only a
-    count and a checksum reach the driver.
+    a join of two plain exchanges is one that adaptive execution can split where a node has very many edges.
     """
+    if edges.count() <= small:
+        return common.materialise(_joined(edges), name)
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    seen = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = common.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), name + "-low")
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = common.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.max("v").alias("most")), name + "-low")
+        if low.where("m < u AND m <> most").isEmpty():
+            common.drop(low)
+            break
+        large = both.where("v > u").join(low.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before, now = now, common.materialise(small.union(small_low.select("u", F.col("m").alias("v"))).distinct(), name)
+        near = large.join(small_low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before, now = now, common.materialise(near.union(small_low.select("u", F.col("m").alias("v"))).distinct(), name)
         common.drop(low, before)
-        state = tuple(now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if state == seen:
-            break
-        seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -240,7 +271,7 @@ def _confirm(tasks: DataFrame, percent: int) -> DataFrame:
     return tasks.repartition(n, "g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "u binary, v binary")
 
 
-def _crossed(members: DataFrame, texts: DataFrame, percent: int, block: int, block_shingles: int) -> DataFrame:
+def _crossed(members: DataFrame, texts: DataFrame, percent: int, block: int, block_shingles: int, few: int) -> DataFrame:
     """Links among members(g, node, n, leader, root) that share a band g and are in different components (root).
 
     Members are gathered into clusters over stars, not pairs. In a cluster (or, where that moves less, in each of its
@@ -262,12 +293,12 @@ def _crossed(members: DataFrame, texts: DataFrame, percent: int, block: int, blo
         per = per.withColumns({"nk": F.ceil(F.col("k") / F.col("size")).cast("int"), "nc": F.ceil(F.col("c") / F.col("size")).cast("int")})
         return per.withColumn("cost", F.col("k") * (F.col("nk") + F.col("nc")) + F.col("c") * F.col("nk"))
 
-    of_clusters = common.materialise(sizes(whole), "minhash-sizes")
-    of_bands = common.materialise(sizes(members), "minhash-band-sizes")
+    of_clusters = common.materialise(sizes(whole).coalesce(few), "minhash-sizes")
+    of_bands = common.materialise(sizes(members).coalesce(few), "minhash-band-sizes")
     home = members.groupBy("g").agg(F.min("leader").alias("node")).join(clusters, "node").select("g", F.col("root").alias("cluster"))
     by_band = of_bands.join(home, "g").groupBy("cluster").agg(F.sum("cost").alias("band_cost"))
     choice = by_band.join(of_clusters.select(F.col("g").alias("cluster"), "cost"), "cluster").select("cluster", (F.col("cost") <= F.col("band_cost")).alias("whole"))
-    choice = common.materialise(choice, "minhash-choice")
+    choice = common.materialise(choice.coalesce(few), "minhash-choice")
 
     def tasks(groups: DataFrame, per: DataFrame) -> DataFrame:
         rows = groups.join(per, "g").withColumn("minor", F.col("root") != F.col("main"))
@@ -296,17 +327,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512, block_
     """
     spark = docs.sparkSession
     common.ship(spark)
+    # groups' rows are few: their tables take tasks by the size of the input, not one for each shuffle partition
+    few = max(2 * spark.sparkContext.defaultParallelism, -(-common.size_in_bytes(docs) // TABLE_BYTES) or common.parallelism(spark))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *extra)
     sketch = common.materialise(_sketch(rows), "minhash-sketch")
     classes = sketch.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print")
     classes = classes.agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = common.materialise(classes.select(F.col("print").alias("node"), "at.doc_id", "at.text_hash", "copies", "n", "keys"), "minhash-classes")
+    classes = common.materialise(classes.select(F.col("print").alias("node"), "at.doc_id", "at.text_hash", "copies", "n", "keys").coalesce(few), "minhash-classes")
     bands = classes.select("node", "n", F.explode("keys").alias("g"))
     shared = bands.groupBy("g").agg(F.count("*").alias("m"), F.max("n").alias("most")).where("m > 1")
-    members = common.materialise(bands.join(common.materialise(shared, "minhash-shared"), "g"), "minhash-bands")
-    mass = common.materialise(members.groupBy("node").agg(F.sum("m").alias("mass")), "minhash-mass")
+    members = common.materialise(bands.join(common.materialise(shared.coalesce(few), "minhash-shared"), "g"), "minhash-bands")
+    mass = common.materialise(members.groupBy("node").agg(F.sum("m").alias("mass")).coalesce(few), "minhash-mass")
     shared = members.join(mass, "node").groupBy("g").agg(F.max(F.struct("mass", "node")).alias("top"), F.first("m").alias("m"), F.first("most").alias("most"))
-    shared = common.materialise(shared.select("g", F.col("top.node").alias("leader"), "m", "most"), "minhash-shared")
+    shared = common.materialise(shared.select("g", F.col("top.node").alias("leader"), "m", "most").coalesce(few), "minhash-shared")
     members = common.materialise(members.select("g", "node", "n").join(shared, "g"), "minhash-members")
 
     def blocks(m: str, most: str):
@@ -317,7 +350,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512, block_
     texts = common.materialise(texts.select("node", "text"), "minhash-texts")
 
     leaders = shared.groupBy("leader").agg(F.sum("m").alias("m"), F.max("most").alias("most")).select("leader", blocks("m", "most").cast("int").alias("nb"))
-    leaders = common.materialise(leaders, "minhash-leaders")
+    leaders = common.materialise(leaders.coalesce(few), "minhash-leaders")
     own = leaders.select(F.col("leader").alias("g"), F.lit(0).alias("i"), F.explode(F.sequence(F.lit(1), F.col("nb"))).alias("j"), F.lit(0).alias("b"), F.col("leader").alias("node"))
     other = members.where("node <> leader").select("leader", "node").distinct().join(leaders, "leader")
     other = other.select(F.col("leader").alias("g"), F.lit(0).alias("i"), (F.pmod(F.xxhash64("node"), F.col("nb")) + 1).cast("int").alias("j"), "node").withColumn("b", F.col("j"))
@@ -325,15 +358,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, block: int = 512, block_
     roots = components(links, "minhash-stars")
 
     joined = common.materialise(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "minhash-joined")
-    open_ = common.materialise(joined.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g"), "minhash-open")
+    open_ = common.materialise(joined.groupBy("g").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("g").coalesce(few), "minhash-open")
     if not open_.isEmpty():
         rest = common.materialise(joined.select("g", "node", "n", "leader", "root").join(open_, "g"), "minhash-rest")
-        more = common.materialise(_crossed(rest, texts, percent, block, block_shingles), "minhash-more")
+        more = common.materialise(_crossed(rest, texts, percent, block, block_shingles, few), "minhash-more")
         if not more.isEmpty():
             roots = components(more.union(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), "minhash-roots")
 
     linked = classes.select("node", "doc_id", "copies").join(roots, "node", "left").where("copies > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "node"))
-    heads = common.materialise(linked.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("head")), "minhash-heads")
+    heads = common.materialise(linked.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("head")).coalesce(few), "minhash-heads")
     linked = linked.join(heads, "root").select(F.col("node").alias("print"), F.col("head.doc_id").alias("component"), (F.col("head.node") == F.col("node")).alias("leads"))
     out = sketch.join(linked, "print", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))

@@ -166,6 +166,34 @@ def test_op2_edges(docs_of):
     assert row["component_id"] is None and row["kept"]
 
 
+def test_op2_components_of_small_and_large_graphs(spark, monkeypatch):
+    """One task joins a small graph, rounds a large one and end as soon as there are stars only: alike, in few tables."""
+    from quadrille.llm import common, minhash
+
+    written = []
+    write = common.materialise
+    monkeypatch.setattr(common, "materialise", lambda df, name, *a: written.append(name) or write(df, name, *a))
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in range(1000, 1080)]
+    graphs = {"random": [tuple(x) for x in rng.integers(0, 400, (300, 2)).tolist()] + chain + [(7, 7), (2000, 2000)], "star": [(5, i) for i in range(6, 60)], "none": []}
+    for name, pairs in graphs.items():
+        parent = {x: x for p in pairs if p[0] != p[1] for x in p}
+
+        def root(x):
+            return x if parent[x] == x else root(parent[x])
+
+        for u, v in pairs:
+            if u != v:
+                a, b = root(u), root(v)
+                parent[max(a, b)] = min(a, b)
+        want = sorted((b"%06d" % x, b"%06d" % root(x)) for x in parent)
+        edges = spark.createDataFrame([(b"%06d" % u, b"%06d" % v) for u, v in pairs], "u binary, v binary").repartition(3)
+        for small, most in ((1000, 1), (-1, 1 if name != "random" else 19)):
+            written.clear()
+            got = sorted((bytes(r["node"]), bytes(r["root"])) for r in minhash.components(edges, "t", small).collect())
+            assert got == want and len(written) <= most, (name, small, written)
+
+
 def test_op3_scan_equals_one_pass_and_decodes(docs_of):
     from quadrille.llm.pieces import MODEL, Pieces, decode, encode, product, states
     from quadrille.llm.tokens import vocabulary_path
