@@ -85,11 +85,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         spark.conf.set(key, own)
 
 
-def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None, level: int | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     writer = df.write.option("compression", compression) if compression else df.write
+    writer = writer.option("parquet.compression.codec.zstd.level", level) if level else writer
     with small_batches(spark):
         writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -308,6 +308,26 @@ def test_op5_short_and_long_clips_pass_the_same_filter(spark):
     assert got[None] is None and bytes(got[BIG]) == media.to_pcm(rows[0][1], 4000).tobytes()
 
 
+def test_op5_stores_whole_sound_at_16_khz(spark, tmp_path, docs_of):
+    from quadrille.llm import media
+    from quadrille.llm.queries import op5_telephony_audio
+
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 2, 3, 64, 1001):  # any samples, not only those of a doubled rate
+        x = rng.integers(-32768, 32768, n).astype(np.int16)
+        assert media.unpack(media.pack(x)) == x.astype("<i2").tobytes()
+    sound = media.to_pcm(media.wav(rng.integers(0, 256, 640).astype(np.uint8).tobytes()))
+    assert len(sound) == 1280 and not any(media.pack(sound)[1280:])
+    rows = [(i, t) for i, (_, t) in enumerate(SAMPLE)]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["feature"].split(";")[2] for r in op5_telephony_audio(spark, str(tmp_path)).collect()}
+    stored = {r["doc_id"]: bytes(r["pcm"]) for r in media.store_text(docs_of(rows)).collect()}
+    for d, t in rows:
+        p = (t or "").encode()
+        want = media.to_pcm(media.wav(p + b"\0" * (max(64, -(-len(p) // 64) * 64) - len(p))), 16000).astype("<i2").tobytes()
+        assert stored[d] == want and got[d] == f"pcm:{len(want) // 2},{zlib.crc32(want)}"
+
+
 def test_op5_laws_and_round_trip(docs_of):
     from quadrille.llm import media
 
